@@ -1,0 +1,194 @@
+"""Personal data by weak supervision (operator 7).
+
+DataFrame operations only on the rows. Candidate spans come from strict patterns
+(email, ip, card, phone, all of whose valid matches count) and from looser ones
+(written-out addresses, phone numbers without +, identity numbers, titled names).
+Labelers vote on each (-1, 0 or 1): format, validity, gazetteer, context, boundary.
+Votes are counted by kind and pattern over the whole table, at most 6 * 3**5 rows;
+from these counts expectation-maximisation estimates each labeler's reliability, and a
+logistic regression on the votes and kinds learns the posteriors. It decides on the
+looser candidates; strict matches stay whatever it says.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch
+
+#: In the order in which spans that start together are listed.
+KINDS = ("email", "ip", "card", "phone", "id", "person")
+LABELERS = ("format", "validity", "gazetteer", "context", "boundary")
+_LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
+#: Java patterns. Possessive loops neither backtrack nor recurse on long runs; the guards
+#: start where a run begins or the last match ended, as leftmost matching would.
+STRICT = {
+    "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_LABEL}]++(?:\.[{_LABEL}]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
+    "card": r"[0-9](?:[\x20-]?+[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+LOOSE = {
+    "email": r"(?i)\b[a-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\))\x20?[a-z0-9-]{1,63}\x20?(?:\[dot\]|\(dot\)|\.)\x20?[a-z]{2,24}\b",
+    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "person": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
+}
+#: What a text must hold (cheap to test) for a pattern to be tried.
+_NEEDS = {"email": "contains(t, '@')", "ip": "rlike(t, '[0-9][.][0-9]')", "card": "rlike(t, '[0-9]')", "phone": "contains(t, '+')"}
+_NEEDS_LOOSE = {"email": "rlike(t, '(?i)[(\\\\[](at|dot)[)\\\\]]')", "phone": "rlike(t, '[0-9]{3}[.-][0-9]{4}')", "id": "rlike(t, '-[0-9]{2}-[0-9]{4}')", "person": "rlike(t, '\\\\b(Mrs?|Ms|Dr|Prof)\\\\b')"}
+CONTEXT = {
+    "email": r"(?i)(e-?mail|mail|contact|write to|reach)\W{0,12}(me|us|at|is)?\W*$",
+    "ip": r"(?i)(ip|address|host|server|from)\W{0,12}$",
+    "card": r"(?i)(card|visa|mastercard|amex|credit|debit|number|no)\W{0,12}$",
+    "phone": r"(?i)(tel|phone|call|mobile|cell|fax|contact|ring|whatsapp)\W{0,12}(me|us|at|is)?\W*$",
+    "id": r"(?i)(ssn|social security|id|identity|number|no)\W{0,12}$",
+    "person": r"(?i)(by|with|from|to|and|dear|signed)\W{0,4}$",
+}
+AGAINST = r"(?i)(version|isbn|issn|order|invoice|sku|hash|sha\d*|token|key|section|figure|rev|build)\W{0,6}$"
+DOMAINS = "com org net edu gov info io co uk de fr es it eu ch at nl be se no dk fi pl us ca au jp in br mx".split()
+NAMES = "anna ben carlos david elena emma felix george hans ines jack james jane john juan julia karl laura lena luis maria marie mark martin mary michael paul peter pierre robert sarah sofia thomas".split()
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _digits(x: str) -> str:
+    return f"regexp_replace({x}, '[^0-9]', '')"
+
+
+def _luhn(d: str) -> str:
+    digit = f"cast(substr({d}, length({d}) + 1 - i, 1) as int)"
+    return f"aggregate(sequence(1, greatest(1, length({d}))), 0, (s, i) -> s + if(i % 2 = 1, {digit}, if({digit} > 4, {digit} * 2 - 9, {digit} * 2))) % 10 = 0"
+
+
+def _valid(kind: str, m: str) -> str:
+    """Whether a match of the strict pattern counts."""
+    if kind == "ip":
+        part = "if(length(ltrim('0', p)) > 3, 999, coalesce(try_cast(ltrim('0', p) as int), 0))"
+        return f"forall(split({m}, '[.]'), p -> {part} <= 255)"
+    if kind == "card":
+        return f"(length({_digits(m)}) between 12 and 19 and {_luhn(_digits(m))})"
+    if kind == "phone":
+        return f"length({_digits(m)}) between 9 and 15"
+    return "true"
+
+
+def _spans(kind: str, pattern: str, needs: str, strict: bool) -> str:
+    """SQL: array of (start, kind number, end, strict, votes) of the pattern's matches in column t.
+
+    The text falls into the matches and what lies between them; their lengths in code
+    points give the offsets."""
+    q, k = _q(pattern), KINDS.index(kind)
+    valid = _valid(kind, "x.m") if strict or kind == "phone" else "true"
+    word = {"email": f"regexp_extract(lower(x.m), '([a-z]+)$', 1) in ({', '.join(map(repr, DOMAINS))})", "person": f"exists(split(lower(x.m), ' '), w -> w in ({', '.join(map(repr, NAMES))}))"}.get(kind, "false")
+    fit = {"email": "length(x.m) between 6 and 254", "phone": f"length({_digits('x.m')}) between 10 and 15", "id": "not startswith(x.m, '000') and not startswith(x.m, '9') and not startswith(x.m, '666')", "person": "length(x.m) <= 40"}.get(kind, "true")
+    votes = ", ".join(
+        f"if({yes}, '+', if({no}, '-', '0'))"
+        for yes, no in (
+            ("true" if strict else "false", "false"),
+            (fit, f"not ({fit})"),
+            (word, "false"),
+            (f"x.l rlike {_q(CONTEXT[kind])}", f"x.l rlike {_q(AGAINST)}"),
+            ("not (x.l rlike '[0-9A-Za-z_]$' or x.r rlike '^[0-9A-Za-z_]')", "x.l rlike '[0-9A-Za-z_]$' or x.r rlike '^[0-9A-Za-z_]'"),
+        )
+    )
+    matches, gaps = f"regexp_extract_all(t, {q}, 0)", f"split(t, {q}, -1)"
+    pieces = f"zip_with({matches}, {gaps}, (m, g) -> struct(m, g))"
+    # of n matches and n + 1 gaps; the text to the right of match i is gap i + 1
+    folded = f"""aggregate({pieces}, named_struct('at', 0L, 'out', cast(array() as array<struct<s: bigint, e: bigint, m: string, l: string, r: string>>)),
+      (a, p) -> if(p.m is null, named_struct('at', a.at, 'out', if(size(a.out) = 0, a.out, {_right('a.out', 'p.g')})),
+        named_struct('at', a.at + length(p.g) + length(p.m),
+          'out', concat(if(size(a.out) = 0, a.out, {_right('a.out', 'p.g')}), array(named_struct('s', a.at + length(p.g), 'e', a.at + length(p.g) + length(p.m), 'm', p.m, 'l', right(p.g, 32), 'r', ''))))),
+      a -> a.out)"""
+    made = f"transform(filter({folded}, x -> {valid}), x -> named_struct('s', x.s, 'k', {k}, 'e', x.e, 'strict', {str(strict).lower()}, 'v', concat({votes})))"
+    return f"if({needs}, {made}, cast(array() as {SPAN}))"
+
+
+def _right(out: str, gap: str) -> str:
+    last = f"element_at({out}, -1)"
+    return f"concat(slice({out}, 1, size({out}) - 1), array(named_struct('s', {last}.s, 'e', {last}.e, 'm', {last}.m, 'l', {last}.l, 'r', left({gap}, 1))))"
+
+
+SPAN = "array<struct<s: bigint, k: int, e: bigint, strict: boolean, v: string>>"
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id and spans (strict and loose, in no order) of each row; null texts count as empty."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    parts = [_spans(k, p, _NEEDS[k], True) for k, p in STRICT.items()] + [_spans(k, p, _NEEDS_LOOSE[k], False) for k, p in LOOSE.items()]
+    return base.select("doc_id", F.expr(f"concat({', '.join(parts)})").alias("spans"))
+
+
+def reliabilities(counts: dict[tuple[int, str], int], rounds: int = 50) -> tuple[dict[int, float], list[dict[str, tuple[float, float]]]]:
+    """Expectation-maximisation: the share of true spans by kind, and for each labeler how
+    probable each vote is on a true and on a false span. The format labeler starts trusted."""
+    prior = {k: 0.5 for k, _ in counts}
+    votes = [{"+": (0.8, 0.3), "0": (0.15, 0.4), "-": (0.05, 0.3)} for _ in LABELERS]
+    for _ in range(rounds):
+        post = {key: _posterior(prior[key[0]], votes, key[1]) for key in counts}
+        for k in prior:
+            t = sum(n * post[key] for key, n in counts.items() if key[0] == k)
+            prior[k] = (t + 1) / (sum(n for key, n in counts.items() if key[0] == k) + 2)
+        true, false = (sum(n * p for n, p in ((n, post[key] if yes else 1 - post[key]) for key, n in counts.items())) for yes in (True, False))
+        for i, table in enumerate(votes):
+            for v in "+0-":
+                a = sum(n * post[key] for key, n in counts.items() if key[1][i] == v)
+                b = sum(n * (1 - post[key]) for key, n in counts.items() if key[1][i] == v)
+                start = {"+": (8, 3), "0": (1.5, 4), "-": (0.5, 3)}[v]  # pseudo-counts: labelers are better than chance
+                table[v] = ((a + start[0]) / (true + 10), (b + start[1]) / (false + 10))
+    return prior, votes
+
+
+def _posterior(prior: float, votes: list[dict[str, tuple[float, float]]], pattern: str) -> float:
+    a, b = math.log(prior), math.log(1 - prior)
+    for table, v in zip(votes, pattern, strict=True):
+        a, b = a + math.log(table[v][0]), b + math.log(table[v][1])
+    return 1 / (1 + math.exp(min(700.0, max(-700.0, b - a))))
+
+
+def span_classifier(counts: dict[tuple[int, str], int], rounds: int = 300) -> dict[tuple[int, str], float]:
+    """Logistic regression of the posteriors on votes and kind; its probability for each kind and pattern."""
+    if not counts:
+        return {}
+    prior, votes = reliabilities(counts)
+    target = {key: _posterior(prior[key[0]], votes, key[1]) for key in counts}
+    names = {key: ["", f"kind{key[0]}", *(f"{i}{v}" for i, v in enumerate(key[1]))] for key in counts}
+    weight = {f: 0.0 for fs in names.values() for f in fs}
+    total = float(sum(counts.values()))
+    share = {key: n / total for key, n in counts.items()}
+    for _ in range(rounds):
+        step = {f: -1e-4 * w for f, w in weight.items()}
+        for key, fs in names.items():
+            p = 1 / (1 + math.exp(-sum(weight[f] for f in fs)))
+            for f in fs:
+                step[f] += share[key] * (target[key] - p)
+        for f, s in step.items():
+            weight[f] += 2.0 * s
+    return {key: 1 / (1 + math.exp(-sum(weight[f] for f in fs))) for key, fs in names.items()}
+
+
+def _listed(spans: str) -> Column:
+    kind = f"element_at(array({', '.join(map(repr, KINDS))}), x.k + 1)"
+    return F.expr(f"array_join(transform(array_sort({spans}), x -> concat_ws(':', {kind}, cast(x.s as string), cast(x.e as string))), ',')")
+
+
+def personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone and base (the strict
+    spans, as kind:start:end in code points, joined by commas, by start and then kind), spans
+    (with those that the classifier adds where they overlap no strict span).
+
+    docs needs doc_id and text. Null and empty texts have no spans; rows that repeat stay
+    (and count as often in the estimates)."""
+    found = Scratch(docs.sparkSession, "pii").keep(candidates(docs))
+    rows = found.select(F.explode("spans").alias("x")).groupBy("x.k", "x.v").agg(F.count(F.lit(1)).alias("n")).collect()
+    sure = sorted((k, v) for (k, v), p in span_classifier({(r.k, r.v): r.n for r in rows}).items() if p >= least)
+    wanted = " or ".join(f"(x.k = {k} and x.v in ({', '.join(repr(v) for k2, v in sure if k2 == k)}))" for k in sorted({k for k, _ in sure})) or "false"
+    split = found.select("doc_id", F.expr("filter(spans, x -> x.strict)").alias("base"), F.expr(f"filter(spans, x -> not x.strict and ({wanted}))").alias("more"))
+    split = split.withColumn("more", F.expr("filter(array_distinct(transform(more, x -> struct(x.s, x.k, x.e, x.strict, x.v))), x -> not exists(base, b -> b.s < x.e and x.s < b.e))"))
+    count = lambda k: F.expr(f"cast(size(filter(base, x -> x.k = {k})) as bigint)")
+    return split.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], _listed("base").alias("base"), _listed("concat(base, more)").alias("spans"))
