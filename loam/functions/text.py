@@ -1,0 +1,353 @@
+"""Names, addresses and figures in text as column expressions."""
+
+from __future__ import annotations
+
+import difflib
+import re
+from itertools import chain
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# What typed abbreviations stand for.
+ABBREVIATIONS = {
+    "rd": "road", "mt": "mount", "ck": "creek", "crk": "creek", "pt": "point", "hwy": "highway",
+    "ct": "court", "ln": "lane", "tce": "terrace", "blvd": "boulevard", "hts": "heights",
+    "pde": "parade", "cct": "circuit", "sq": "square", "rv": "river", "pk": "peak", "trk": "track",
+    "tk": "track", "hbr": "harbour", "lk": "lake", "nth": "north", "sth": "south", "saint": "st",
+}
+# Words that say a street is meant.
+STREET_WORDS = (
+    "street", "st", "road", "rd", "avenue", "ave", "av", "court", "ct", "crescent", "cres", "cr",
+    "place", "pl", "drive", "dr", "lane", "ln", "terrace", "tce", "highway", "hwy", "parade", "pde",
+    "circuit", "cct", "boulevard", "blvd", "close", "cl", "way", "esplanade", "esp", "grove", "gr",
+    "rise", "square", "sq", "mews", "alley", "walk", "row", "loop", "link", "bypass", "promenade",
+    "quay", "wharf", "freeway", "fwy",
+)
+# Numbers that names spell out.
+NUMBER_WORDS = {
+    "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven",
+    "8": "eight", "9": "nine", "10": "ten", "11": "eleven", "12": "twelve", "13": "thirteen",
+    "14": "fourteen", "15": "fifteen", "16": "sixteen", "17": "seventeen", "18": "eighteen",
+    "19": "nineteen", "20": "twenty", "30": "thirty", "40": "forty", "50": "fifty",
+}
+
+
+def _accents() -> tuple[str, str]:
+    """Letters that NFD takes apart into an ASCII letter and marks, and those letters."""
+    import unicodedata
+
+    pairs = [(c, d[0]) for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _accents()
+
+
+def strip_accents(c: Column) -> Column:
+    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"\p{M}", "")
+
+
+def normalise(c: Column) -> Column:
+    """Search form: no accents, lower case, no apostrophes, other characters one space."""
+    plain = F.regexp_replace(F.lower(strip_accents(c)), "['’]", "")
+    return F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+
+
+def norm_build(c: Column) -> Column:
+    """Index form: as normalise, but apostrophes are spaces."""
+    return F.btrim(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", " "))
+
+
+def words(norm: Column) -> Column:
+    return F.filter(F.split(norm, " "), lambda w: w != "")
+
+
+def literal_map(m: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for x in chain.from_iterable(m.items())])
+
+
+def expand(word: Column) -> Column:
+    return F.coalesce(F.try_element_at(literal_map(ABBREVIATIONS), word), word)
+
+
+def forms(word: Column) -> Column:
+    """What a typed word may mean: its expansion, then itself."""
+    return F.array_distinct(F.array(expand(word), word))
+
+
+def is_street_word(word: Column) -> Column:
+    return word.isin(*STREET_WORDS)
+
+
+def number_word(word: Column) -> Column:
+    return F.try_element_at(literal_map(NUMBER_WORDS), word)
+
+
+def strip_unit_and_range(c: Column) -> Column:
+    """'1/12 Smith St' to '12 Smith St', '2-4 Smith St' to '2 Smith St'."""
+    unit = F.regexp_replace(c, r"(?i)^\s*\d+[a-z]?\s*/\s*(\d+[a-z]?)\b", "$1")
+    return F.regexp_replace(unit, r"(?i)^\s*(\d+[a-z]?)\s*[-–—]\s*\d+[a-z]?\b", "$1")
+
+
+def split_house_number(tokens: Column) -> Column:
+    """struct of number (or null), rest and at_end, from the words of a search."""
+    n = F.size(tokens)
+    at = lambda i: F.coalesce(F.try_element_at(tokens, F.lit(i)), F.lit(""))
+    house, bare = lambda w: w.rlike(r"^\d+[a-z]?$"), lambda w: w.rlike(r"^\d+$")
+    two, front, end = (n > 2) & bare(at(1)) & house(at(2)), (n > 1) & house(at(1)), (n > 1) & house(at(-1))
+    number = F.when(two, at(2)).when(front, at(1)).when(end, at(-1))
+    cut = F.when(two, F.slice(tokens, 3, F.greatest(n - 2, F.lit(0)))).when(front, F.slice(tokens, 2, F.greatest(n - 1, F.lit(0)))).otherwise(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))))
+    rest = F.filter(cut, lambda w: ~w.rlike(r"^\d+$"))
+    fits = number.isNotNull() & (F.size(rest) > 0)
+    return F.struct(F.when(fits, number).alias("number"), F.when(fits, rest).otherwise(tokens).alias("rest"), (~two & ~front & end).alias("at_end"))
+
+
+def leading_int(c: Column) -> Column:
+    """Leading digits as a number; null without any."""
+    return F.when(c.rlike("^[0-9]"), F.regexp_extract(c, "^([0-9]+)", 1).try_cast("bigint"))
+
+
+def distance_text(km: Column) -> Column:
+    """'50 m' to '950 m', '1.2 km' to '9.9 km', '12 km'."""
+    metres = F.greatest(F.lit(50), F.floor(km * 20 + 0.5) * 50).cast("bigint")
+    tenths = F.floor(km * 10 + 0.5).cast("bigint")
+    return (
+        F.when(km < 0.95, F.concat(metres.cast("string"), F.lit(" m")))
+        .when(km < 10, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" km")))
+        .otherwise(F.concat(F.floor(km + 0.5).cast("string"), F.lit(" km")))
+    )
+
+
+def species_key(c: Column) -> Column:
+    """Genus and epithet; null for undetermined species, hybrids and single words."""
+    w = F.filter(F.split(F.btrim(c), r"\s+"), lambda x: x != "")
+    second = F.coalesce(F.try_element_at(w, F.lit(2)), F.lit(""))
+    fine = (F.size(w) >= 2) & second.rlike("^[a-z][a-z-]+$") & ~second.isin("sp", "spp", "aff", "cf", "x", "sp.", "spp.") & ~c.rlike("×")
+    return F.when(fine, F.concat_ws(" ", F.element_at(w, 1), second))
+
+
+def same_stem(a: Column, b: Column, n: int = 5) -> Column:
+    """Spelling variants: same genus, epithets that share their first letters."""
+    g, e = lambda x: F.substring_index(x, " ", 1), lambda x: F.substring_index(x, " ", -1)
+    return (g(a) == g(b)) & (F.left(e(a), F.lit(n)) == F.left(e(b), F.lit(n)))
+
+
+#: Endings of Latin epithets that agree in gender, longest first.
+GENDER = ("ensis", "ense", "atus", "ata", "atum", "osus", "osa", "osum", "icus", "ica", "icum", "us", "a", "um", "is", "e", "er", "ra", "rum")
+
+
+def gender_stem(epithet: Column) -> Column:
+    return F.regexp_replace(epithet, f"({'|'.join(GENDER)})$", "")
+
+
+_HEIGHT = r"^([0-9]+(?:[.,][0-9]+)?)\s*(m|cm|mm)?(?:\s*(?:–|—|-|to)\s*([0-9]+(?:[.,][0-9]+)?)\s*(m|cm|mm)?)?\s*(?:tall|high)?$"
+
+
+def _metres(unit: Column) -> Column:
+    return F.when(unit == "cm", 0.01).when(unit == "mm", 0.001).otherwise(1.0)
+
+
+def _number(text: Column) -> Column:
+    return F.translate(text, ",", ".").try_cast("double")
+
+
+def height(c: Column) -> Column:
+    """struct of min, max (metres) and up_to, or null for anything but one height or range."""
+    s = F.lower(F.btrim(c))
+    up = s.rlike("^(up to |to |<)")
+    s = F.btrim(F.regexp_replace(s, "^(up to |to |<)", ""))
+    a, ua, b, ub = (F.regexp_extract(s, _HEIGHT, i) for i in (1, 2, 3, 4))
+    unit_b = _metres(F.when(ub != "", ub).when(ua != "", ua).otherwise("m"))
+    unit_a = F.when(ua != "", _metres(ua)).otherwise(unit_b)
+    low, high = _number(F.nullif(a, F.lit(""))) * unit_a, _number(F.coalesce(F.nullif(b, F.lit("")), F.nullif(a, F.lit("")))) * unit_b
+    fine = (a != "") & ~(up & (b != "")) & (low > 0) & (high > 0) & (high < 200)
+    return F.when(fine, F.struct(F.least(low, high).alias("min"), F.greatest(low, high).alias("max"), up.alias("up_to")))
+
+
+_PROSE = r"(?i)\b(?:to|up to|reaching|grows to)\s+([0-9]+(?:[.,][0-9]+)?)(?:\s*(?:-|–|to)\s*([0-9]+(?:[.,][0-9]+)?))?\s*(m|cm|mm)\s+(?:tall|high)\b"
+
+
+def prose_height(c: Column) -> Column:
+    """A height in prose, only where it says tall or high."""
+    a, b, u = (F.regexp_extract(c, _PROSE, i) for i in (1, 2, 3))
+    unit = _metres(F.lower(u))
+    low, high = _number(F.nullif(a, F.lit(""))) * unit, _number(F.nullif(b, F.lit(""))) * unit
+    fine = (a != "") & (low > 0) & (high.isNull() | (high > 0))
+    top = F.coalesce(high, low)
+    return F.when(fine, F.struct(F.least(low, top).alias("min"), F.greatest(low, top).alias("max"), high.isNull().alias("up_to")))
+
+
+def licence_code(c: Column) -> Column:
+    """Licence text to a short code; null when it names none."""
+    t = F.lower(c)
+    version = F.regexp_extract(t, r"([1-4]\.[0-9])", 1)
+    cc = F.regexp_replace(F.regexp_extract(t, r"(?:cc[ -]|/licenses/|creative commons.*?)(by(?:[ -](?:nc|nd|sa)){0,2})\b", 1), " ", "-")
+    coded = F.when(cc != "", F.concat_ws("-", F.lit("cc"), cc, F.nullif(version, F.lit(""))))
+    return F.when(t.rlike(r"cc ?-?0|public domain|/zero/"), "cc0").otherwise(coded)
+
+
+def allows_any_use(c: Column) -> Column:
+    """CC BY (or BY-SA) but neither NC nor ND."""
+    return F.lower(c).rlike(r"\bcc[ -]by(?![ -]*(?:sa[ -]*)?(?:nc|nd))") & ~F.lower(c).rlike(r"by[ -](?:[a-z]{2}[ -])?(?:nc|nd)")
+
+
+def colour(c: Column) -> Column:
+    """#RRGGBBAA (or #RRGGBB) as #RRGGBB over white."""
+    h = F.upper(F.regexp_replace(c, "^#", ""))
+    a = F.when(F.length(h) == 8, F.conv(F.substring(h, 7, 2), 16, 10).cast("double") / 255).otherwise(1.0)
+    part = lambda i: F.lpad(F.hex(F.rint(F.conv(F.substring(h, i, 2), 16, 10).cast("double") * a + 255 * (1 - a)).cast("bigint")), 2, "0")
+    return F.when(h.rlike("^([0-9A-F]{6}|[0-9A-F]{8})$"), F.concat(F.lit("#"), part(1), part(3), part(5)))
+
+
+def code_prefix_stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\([A-Z]{3}\)\s*", "")
+
+
+def top_of_hierarchy(c: Column) -> Column:
+    return F.btrim(F.element_at(F.split(c, ">"), 1))
+
+
+def meta_line(kind: Column, place: Column, council: Column, name: Column) -> Column:
+    """'Type · place, council': the first council only; a place equal to the name is left out."""
+    where = F.when(place != name, place)
+    return F.concat_ws(" · ", kind, F.nullif(F.concat_ws(", ", where, F.btrim(F.substring_index(council, ",", 1))), F.lit("")))
+
+
+def unshift(c: Column, by: int = 29) -> Column:
+    """Glyph codes shifted down by a constant, shifted back."""
+    return F.array_join(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.char(F.ascii(x) + by)), "")
+
+
+def percent_down(f: Column) -> Column:
+    """Whole percent, rounded down with a little slack for float noise."""
+    return F.concat(F.floor(f * 100 + 1e-6).cast("string"), F.lit("%"))
+
+
+def size_text(n: Column) -> Column:
+    return (
+        F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B")))
+        .when(n < 1e6, F.concat(F.floor(n / 1e3 + 0.5).cast("string"), F.lit(" kB")))
+        .when(n < 1e9, F.concat(F.floor(n / 1e6 + 0.5).cast("string"), F.lit(" MB")))
+        .otherwise(F.concat(F.format_number(n / 1e9, 1), F.lit(" GB")))
+    )
+
+
+def html_text(c: Column) -> Column:
+    """Visible text: scripts, styles, comments and tags dropped, common entities decoded, white space folded."""
+    t = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>", " ")
+    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
+    t = F.regexp_replace(t, r"<[^>]*>", " ")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    return F.btrim(F.regexp_replace(t, r"\s+", " "))
+
+
+def upload_parts(url: Column) -> Column:
+    """struct of year, month, stem, size and extension of an upload's path."""
+    path = F.parse_url(url, F.lit("PATH"))
+    p = r"(\d{4})/(\d{2})/([^/]+?)(?:-(\d+x\d+))?\.([A-Za-z0-9]+)$"
+    return F.struct(*[F.nullif(F.regexp_extract(path, p, i), F.lit("")).alias(n) for i, n in ((1, "year"), (2, "month"), (3, "stem"), (4, "size"), (5, "ext"))])
+
+
+#: Words that stay lower case inside a title.
+_SMALL = {"of", "the", "and", "on", "in", "at", "to", "by", "de", "du", "la", "le", "von", "van"}
+
+
+def title_word(word: str, first: bool) -> str:
+    if not first and word.lower() in _SMALL:
+        return word.lower()
+    if re.fullmatch(r"[A-Z]{2,3}", word) and not re.search("[AEIOUY]", word):
+        return word
+    parts = [p[:1].upper() + p[1:].lower() for p in re.split(r"(-)", word)]
+    w = "".join(parts)
+    w = re.sub(r"^(O|D)['’]([a-z])", lambda m: f"{m[1]}'{m[2].upper()}", w)
+    return re.sub(r"^(Mc)([a-z])", lambda m: m[1] + m[2].upper(), w)
+
+
+@F.pandas_udf(T.StringType())
+def smart_title(s: pd.Series) -> pd.Series:
+    """Title case that knows O'Connor, McDonald, small words and acronyms."""
+    return s.map(lambda t: None if t is None else " ".join(title_word(w, i == 0) for i, w in enumerate(t.split())))
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp similarity, 0 to 1."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.StringType())
+def latin1(s: pd.Series) -> pd.Series:
+    """The text in Latin-1; what does not fit falls apart by NFKD and loses its marks."""
+    import unicodedata
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        return "".join(c if ord(c) < 256 else "".join(d for d in unicodedata.normalize("NFKD", c) if ord(d) < 256 and not unicodedata.combining(d)) for c in t)
+
+    return s.map(one)
+
+
+@F.pandas_udf(T.StringType())
+def first_sentences(s: pd.Series) -> pd.Series:
+    """At most some 300 characters, cut at the end of a sentence."""
+    def one(t: str | None) -> str | None:
+        if t is None or len(t) <= 300:
+            return t
+        cut = max(t.rfind(e, 0, 300) for e in (". ", "! ", "? "))
+        return t[: cut + 1] if cut > 0 else t[:300].rsplit(" ", 1)[0]
+
+    return s.map(one)
+
+
+_BINOMIAL = re.compile(r"\b([A-Z][a-z]+|[A-Z]\.)\s+([a-z][a-z-]{2,})\b")
+_NOT_EPITHET = {"and", "the", "are", "with", "from", "are", "may", "can", "has", "was", "were", "which", "that", "species"}
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def binomials(s: pd.Series) -> pd.Series:
+    """Genus-species names of a text in order; 'E. obliqua' takes the last genus with that
+    letter; names in a sentence after 'not' or 'absent' are left out."""
+    def one(t: str | None) -> list[str]:
+        out, genera = [], {}
+        for sentence in re.split(r"(?<=[.;!?])\s+(?=[A-Z][a-z])", t or ""):
+            negated = re.search(r"\b(not|absent|without|lacks)\b", sentence, re.I)
+            for m in _BINOMIAL.finditer(sentence):
+                genus, epithet = m[1], m[2]
+                if epithet in _NOT_EPITHET:
+                    continue
+                if genus.endswith("."):
+                    genus = genera.get(genus[0])
+                    if genus is None:
+                        continue
+                genera[genus[0]] = genus
+                if not (negated and m.start() > negated.start()):
+                    out.append(f"{genus} {epithet}")
+        return out
+
+    return s.map(one)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def paragraphs(s: pd.Series) -> pd.Series:
+    """Wrapped lines joined to paragraphs; a blank line, a bullet or a short line that ends a sentence breaks."""
+    def one(t: str | None) -> list[str]:
+        out, now = [], ""
+        for line in (t or "").split("\n"):
+            line = line.strip()
+            if not line or re.match(r"[-*•]\s", line):
+                if now:
+                    out.append(now)
+                now = line
+                continue
+            now = f"{now} {line}".strip()
+            if len(line) < 50 and line.endswith((".", "!", "?")):
+                out.append(now)
+                now = ""
+        return [*out, now] if now else out
+
+    return s.map(one)
