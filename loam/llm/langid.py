@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -217,6 +218,8 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
                 h, starts, stops, upto = words.split(data, ends)
                 path, size = np.empty(0, np.int64), stops - starts
                 if len(h) and m.languages:
+                    begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # letters, not bytes
+                    size = begun[stops] - begun[starts]
                     _, first, back = np.unique(h, return_index=True, return_inverse=True)
                     score = m.score(data, starts[first], stops[first])[back]
                     path = label(score, upto, switch)
@@ -235,8 +238,8 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
                         scores.append(float(mass[k] / mass.sum()) if len(mass) and mass.sum() else 0.0)
                     if spans:
                         p = path[at:to]
-                        cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else []
-                        found.append([{"start": int(a), "end": int(b), "lang": m.languages[p[a]]} for a, b in zip(cuts, [*cuts[1:], len(p)], strict=True)])
+                        cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)] if len(p) else [0]
+                        found.append([{"start": a, "end": b, "lang": m.languages[p[a]]} for a, b in pairwise(cuts)])
                     at = to
             extra = [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             if spans:

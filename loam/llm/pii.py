@@ -40,13 +40,14 @@ LOOSE = {
 #: What a text must hold (cheap to test) for a pattern to be tried.
 _NEEDS = {"email": "contains(t, '@')", "ip": "rlike(t, '[0-9][.][0-9]')", "card": "rlike(t, '[0-9]')", "phone": "contains(t, '+')"}
 _NEEDS_LOOSE = {"email": "rlike(t, '(?i)[(\\\\[](at|dot)[)\\\\]]')", "phone": "rlike(t, '[0-9]{3}[.-][0-9]{4}')", "id": "rlike(t, '-[0-9]{2}-[0-9]{4}')", "person": "rlike(t, '\\\\b(Mrs?|Ms|Dr|Prof)\\\\b')"}
+_FILLER = r"(?:\W{1,4}(?:me|us|at|is|on|my|to|number|no))*\W{0,4}$"
 CONTEXT = {
-    "email": r"(?i)(e-?mail|mail|contact|write to|reach)\W{0,12}(me|us|at|is)?\W*$",
-    "ip": r"(?i)(ip|address|host|server|from)\W{0,12}$",
-    "card": r"(?i)(card|visa|mastercard|amex|credit|debit|number|no)\W{0,12}$",
-    "phone": r"(?i)(tel|phone|call|mobile|cell|fax|contact|ring|whatsapp)\W{0,12}(me|us|at|is)?\W*$",
-    "id": r"(?i)(ssn|social security|id|identity|number|no)\W{0,12}$",
-    "person": r"(?i)(by|with|from|to|and|dear|signed)\W{0,4}$",
+    "email": rf"(?i)\b(?:e-?mail|mail|contact|write|reach|address){_FILLER}",
+    "ip": rf"(?i)\b(?:ip|address|host|server|from){_FILLER}",
+    "card": rf"(?i)\b(?:card|visa|mastercard|amex|credit|debit){_FILLER}",
+    "phone": rf"(?i)\b(?:tel|phone|call|mobile|cell|fax|contact|ring|whatsapp){_FILLER}",
+    "id": rf"(?i)\b(?:ssn|social security|id|identity){_FILLER}",
+    "person": r"(?i)\b(?:by|with|from|to|and|dear|signed)\W{0,4}$",
 }
 AGAINST = r"(?i)(version|isbn|issn|order|invoice|sku|hash|sha\d*|token|key|section|figure|rev|build)\W{0,6}$"
 DOMAINS = "com org net edu gov info io co uk de fr es it eu ch at nl be se no dk fi pl us ca au jp in br mx".split()
