@@ -41,7 +41,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, blocks: int = 8) -> Dat
         return pd.concat(out)
 
     schema = f"id {dict(queries.dtypes)['id']}, rid {dict(bank.dtypes)['rid']}, cls {dict(bank.dtypes)['cls']}, s double"
-    found = q.groupBy("_b").cogroup(b.select("rid", "cls", "v", "_b").groupBy("_b")).applyInPandas(run, schema)
+    found = q.groupBy("_b").cogroup(b.select(*[F.col(c).alias(c) for c in ("rid", "cls", "v", "_b")]).groupBy("_b")).applyInPandas(run, schema)
     return found.withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "rid"))).where(F.col("rk") <= k)
 
 

@@ -15,7 +15,7 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType, rejects: bool =
         return reader.option("mode", "DROPMALFORMED").schema(schema).csv(path), None
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
     rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(full).csv(path)
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("_corrupt")
+    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("_corrupt", schema.fieldNames()[0])
 
 
 def staged(df_of, spark: SparkSession, path: str, fresh: bool = False) -> DataFrame:
