@@ -225,3 +225,61 @@ def condensed(rows: DataFrame, rounds: int = 10) -> DataFrame:
             break
         keep = keep.unionByName(first).distinct().checkpoint()
     return keep
+
+
+def vote_weights(near: DataFrame, counts: DataFrame, beta: float, masses: DataFrame | None = None, rho: float = 0.0) -> DataFrame:
+    """Adds w: count ** -beta of the neighbour's class, times its prototype's mass ** rho. counts: cls, n; masses: rid, mass."""
+    out = near.join(counts, "cls", "left").withColumn("w", F.pow(F.coalesce("n", F.lit(1)).cast("double"), F.lit(-beta))).drop("n")
+    if masses is not None:
+        out = out.join(masses, "rid", "left").withColumn("w", F.col("w") * F.pow(F.coalesce("mass", F.lit(1.0)), F.lit(rho))).drop("mass")
+    return out
+
+
+def geo_decay(d_km: Column, sigma: float, gamma: float) -> Column:
+    """gamma + exp(-d^2 / 2 sigma^2); gamma alone without a location."""
+    return F.coalesce(F.exp(-d_km * d_km / (2 * sigma * sigma)), F.lit(0.0)) + gamma
+
+
+def adaptive_prior(points: DataFrame, grid: DataFrame, codes: DataFrame, widths: list[tuple[float, float]], frequency: DataFrame, step: float) -> DataFrame:
+    """id, cls, lp: the prior with the kernel width and alpha of the code of each point's cell.
+
+    points: id, x, y (null: no location); grid: row, col, key, n; codes: row, col, code (cells
+    without one take the widest); widths: (sigma, alpha) by code."""
+    from loam.functions import geo
+    from loam.operators.spatial import kernel_sums
+
+    located = points.where("x is not null and y is not null")
+    placed = located.withColumns({"row": geo.cell(F.col("y"), 0.0, step), "col": geo.cell(F.col("x"), 0.0, step)})
+    coded = placed.join(codes, ["row", "col"], "left").select("id", "x", "y", F.coalesce("code", F.lit(len(widths) - 1)).alias("code"))
+    out = None
+    for code, (sigma, alpha) in enumerate(widths):
+        mine = coded.where(F.col("code") == code).select("id", "x", "y")
+        part = prior(kernel_sums(mine, grid, sigma, step), mine.select("id"), frequency, alpha)
+        out = part if out is None else out.unionByName(part)
+    nowhere = points.where("x is null or y is null").select("id").crossJoin(F.broadcast(frequency)).select("id", "cls", F.ln("f").alias("lp"))  # one row a class
+    return out.unionByName(nowhere)
+
+
+def tau_norm(rows: DataFrame, tau: float) -> DataFrame:
+    """Class weights over their length ** tau. rows: cls, v."""
+    n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return rows.withColumn("_n", n).withColumn("v", F.transform("v", lambda x: x / F.pow(F.greatest(F.col("_n"), F.lit(1e-12)), F.lit(tau)))).drop("_n")
+
+
+def rows_for_empty(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """cls, v, how: own vector, else the mean of the genus, else the mean of all. classes: cls, genus; rows: cls, v."""
+    def mean(d: DataFrame, keys: list[str]) -> DataFrame:
+        e = d.select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))
+        return e.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("v"))
+
+    j = classes.join(rows, "cls", "left")
+    g = mean(j.where("v is not null"), ["genus"]).withColumnRenamed("v", "_g")
+    all_ = mean(rows.withColumn("_k", F.lit(0)), ["_k"]).select(F.col("v").alias("_a"))
+    out = j.join(g, "genus", "left").crossJoin(F.broadcast(all_))  # one row
+    return out.select("cls", F.coalesce("v", "_g", "_a").alias("v"), F.when(F.col("v").isNotNull(), "own").when(F.col("_g").isNotNull(), "genus").otherwise("all").alias("how"))
+
+
+def remapped(scores: DataFrame, merges: DataFrame, masked: DataFrame) -> DataFrame:
+    """Scores by merged class (the greatest of those merged); masked classes at -1e4. merges: cls, into; masked: cls."""
+    m = scores.join(merges, "cls", "left").join(masked.select("cls", F.lit(True).alias("_m")), "cls", "left")
+    return m.groupBy("id", F.coalesce("into", "cls").alias("cls")).agg(F.max(F.when(F.col("_m"), MASKED).otherwise(F.col("z"))).alias("z"))
