@@ -121,9 +121,22 @@ def quota_scale(histogram: list[tuple[int, int]], budget: int, floor: int = 1) -
     return low
 
 
+def global_rank(keys: DataFrame, order: str, buckets: int = 256) -> DataFrame:
+    """Adds rank (from 0) and n over all rows of a table of distinct numeric keys, without bringing
+    them into one task: approximate quantiles cut buckets, whose exact counts give each one's offset."""
+    cuts = keys.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    cuts = F.array_distinct(F.lit(cuts or []).cast(f"array<{dict(keys.dtypes)[order]}>"))
+    placed = keys.withColumn("_bucket", F.size(F.filter(cuts, lambda c: c <= F.col(order))))
+    counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # one row a bucket
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "n": F.sum("_n").over(Window.partitionBy())})
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
+    return placed.withColumn("_rn", within).join(F.broadcast(counts), "_bucket").withColumn("rank", F.col("_before") + F.col("_rn") - 1).drop("_bucket", "_n", "_before", "_rn")
+
+
 def even_spread(df: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows spread evenly over the order, and the last. The ranks come from one global window of a narrow key."""
-    keys = df.select(order).distinct().withColumn("_rk", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    """Rows of n keys spread evenly over the order of a numeric key, and of the last key."""
+    keys = global_rank(df.select(order).distinct(), order).withColumnsRenamed({"rank": "_rk", "n": "_n"})
     picked = keys.where((F.ceil(F.col("_rk") * n / F.col("_n")) * F.col("_n") < (F.col("_rk") + 1) * n) | (F.col("_rk") == F.col("_n") - 1))
     return df.join(picked.select(order), order, "left_semi")
 
