@@ -130,7 +130,25 @@ class Words:
 
     def split(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """data: the texts' bytes in a row; ends: where each ends. Gives hash, start and
-        end byte of each word, and the number of words up to the end of each text."""
+        end byte of each word, and the number of words up to the end of each text.
+
+        A long text, which comes alone, is split in parts that end between words, so that
+        the working arrays stay small."""
+        if len(ends) > 1 or len(data) <= PART_BYTES:
+            return self._split(data, ends)
+        at, parts = 0, []
+        while at < len(data):
+            to = at + PART_BYTES
+            while to < len(data) and self.inside[data[to]]:
+                gap = np.flatnonzero(~self.inside[data[to : to + PART_BYTES]])
+                to += int(gap[0]) if len(gap) else PART_BYTES
+            h, starts, stops, _ = self._split(data[at:to], np.array([len(data[at:to])]))
+            parts.append((h, starts + at, stops + at))
+            at = to
+        h, starts, stops = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return h, starts, stops, np.array([len(h)])
+
+    def _split(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         inside = self.inside[data]
         if not len(data):
             none = np.empty(0, np.int64)
@@ -150,6 +168,8 @@ class Words:
 
 #: Texts are taken together up to so many bytes; a longer text is taken alone.
 CHUNK_BYTES = 1 << 18
+#: Bytes of a long text that are split at once.
+PART_BYTES = 1 << 20
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
