@@ -322,7 +322,7 @@ SELECT l_linestatus, max(q) AS most, (SELECT count(*) FROM orders) AS orders, (S
 def scalar_subqueries(t: Tables):
     q = t.lineitem.groupBy("l_orderkey", "l_linestatus").agg(F.sum("l_quantity").alias("q")).groupBy("l_linestatus").agg(F.max("q").alias("most"))
     one = t.orders.agg(F.count(F.lit(1)).alias("orders"), F.max("o_totalprice").alias("dearest"))  # one row
-    return q.crossJoin(one)
+    return q.crossJoin(F.broadcast(one))
 
 
 @query("""SELECT p_brand, first_type, link FROM (SELECT p_brand, arg_min(p_type, p_partkey) AS first_type, arg_min(p_name, p_partkey) FILTER (WHERE p_size % 4 = 0) AS link FROM part GROUP BY 1)""")
