@@ -175,14 +175,14 @@ def _hashes(t: Tables):
 
 @query(f"""WITH {_HASHES}, c AS (SELECT a.id, min(b.id) AS of FROM i a JOIN i b ON a.cls = b.cls AND b.id < a.id AND bit_count(xor(a.p, b.p)) <= 1 AND bit_count(xor(a.d, b.d)) <= 1 GROUP BY a.id) SELECT id, of FROM c""")
 def earlier_copies(t: Tables):
-    return dd.earlier_copies(_hashes(t), 1, 1)
+    return dd.earlier_copies(_hashes(t), 1, 1, 12)
 
 
 @query(f"""WITH {_HASHES}, x AS (SELECT a.id, b.id AS rid, bit_count(xor(a.p, b.p)) + bit_count(xor(a.d, b.d)) AS s FROM i a JOIN i b ON a.id % 4 = 0 AND b.id % 4 <> 0 AND bit_count(xor(a.p, b.p)) <= 1 AND bit_count(xor(a.d, b.d)) <= 2)
 SELECT id, rid, s::INTEGER AS s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, rid) AS rn FROM x) WHERE rn = 1""")
 def hash_matches(t: Tables):
     i = _hashes(t)
-    return dd.best_match(dd.hash_pairs(i.where("id % 4 = 0").select("id", "p", "d"), i.where("id % 4 <> 0").select(F.col("id").alias("rid"), "p", "d"), 1, 2))
+    return dd.best_match(dd.hash_pairs(i.where("id % 4 = 0").select("id", "p", "d"), i.where("id % 4 <> 0").select(F.col("id").alias("rid"), "p", "d"), 1, 2, width=12))
 
 
 @query(f"""WITH {_HASHES}, x AS (SELECT a.id, b.id AS rid, a.cls <> b.cls AS crossed FROM i a JOIN i b ON a.id <> b.id AND bit_count(xor(a.p, b.p)) <= 1 AND bit_count(xor(a.d, b.d)) <= 1),
@@ -190,8 +190,8 @@ t AS (SELECT DISTINCT id FROM x WHERE crossed), l AS (SELECT DISTINCT x.id FROM
 SELECT i.id, CASE WHEN t.id IS NOT NULL THEN 'twin' WHEN l.id IS NOT NULL THEN 'copy' END AS reason FROM i LEFT JOIN t ON i.id = t.id LEFT JOIN l ON i.id = l.id""")
 def dedup_reasons(t: Tables):
     i = _hashes(t)
-    pairs = dd.hash_pairs(i.select("id", "p", "d"), i.select(F.col("id").alias("rid"), "p", "d"), 1, 1).where("id <> rid").select("id", "rid")
-    return dd.reasons(i.select("id"), [("twin", dd.twins(i, pairs)), ("copy", dd.earlier_copies(i, 1, 1))])
+    pairs = dd.hash_pairs(i.select("id", "p", "d"), i.select(F.col("id").alias("rid"), "p", "d"), 1, 1, width=12).where("id <> rid").select("id", "rid")
+    return dd.reasons(i.select("id"), [("twin", dd.twins(i, pairs)), ("copy", dd.earlier_copies(i, 1, 1, 12))])
 
 
 @query()
