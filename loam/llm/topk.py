@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, column
 
-#: Rows of an index block, at most and (if there are so many) at least; rows of a query block; pairs scored at once.
-BLOCK_ROWS, LEAST_ROWS, QUERY_ROWS, SCORED_AT_ONCE = 32768, 1024, 8192, 1 << 21
+#: Rows of an index block and of a query block at most; query blocks are cut smaller (down to
+#: LEAST_ROWS) until there are TASKS pairs of blocks; pairs of rows scored at once.
+BLOCK_ROWS, QUERY_ROWS, LEAST_ROWS, TASKS, SCORED_AT_ONCE = 32768, 8192, 128, 16, 1 << 21
 #: Impacts from these up make a level; what lies below the last counts as unseen.
 LEVELS = (32, 16, 8, 4, 2, 1)
 _EXACT_IN_FLOAT64 = float(1 << 53)
@@ -56,16 +57,15 @@ def _packed(kind: str):
         peak = int(np.abs(m).max(initial=0))
         m = m.astype(np.int8 if peak < 128 else np.int16 if peak < 32768 else np.int64)
         segments = []
-        if kind == "index":
-            size, above = np.abs(m.astype(np.int64)), math.inf
+        if kind == "index":  # a posting is its place among the block's components; the value stands there
+            size, above = np.abs(m.astype(np.int64)).ravel(), math.inf
             for level in LEVELS:
-                row, dim = np.nonzero((size >= level) & (size < above))
-                segments.append((row.astype(np.int32).tobytes(), dim.astype(np.int32).tobytes(), m[row, dim].astype(np.int64).tobytes()))
+                segments.append(np.flatnonzero((size >= level) & (size < above)).astype(np.int32).tobytes())
                 above = level
         cols = {"block": [key[0].as_py()], "ids": [ids.tobytes()], "dims": [m.shape[1]], "width": [m.dtype.itemsize], "rows": [m.tobytes()]}
         if kind == "index":
-            cols |= {n: [[s[i] for s in segments]] for i, n in enumerate(("seg_row", "seg_dim", "seg_value"))}
-        return pa.table({n: pa.array(c, pa.list_(pa.binary()) if n.startswith("seg") else None) for n, c in cols.items()})
+            cols["segments"] = [segments]
+        return pa.table({n: pa.array(c, pa.list_(pa.binary()) if n == "segments" else None) for n, c in cols.items()})
 
     return run
 
@@ -79,17 +79,18 @@ def _unpack(r: dict, p: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(r[p + "rows"], kind).reshape(len(ids), r[p + "dims"]).astype(np.int64)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, segments: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of one block for each query: query_id, vec_id, score. Exact."""
     dims = max(q.shape[1], m.shape[1])
+    places = [np.divmod(s, max(1, m.shape[1])) for s in segments]
     q, m = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (q, m))
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * max(dims, 1) < _EXACT_IN_FLOAT64
     kind = np.float32 if exact and float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * max(dims, 1) < 1 << 24 else np.float64
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     own = {int(i): n for n, i in enumerate(ids)}
     left, parts = (m.astype(np.float64) ** 2).sum(1), []
-    for row, dim, value in segments:  # a segment as rows, and the length of what it leaves unseen
-        part = np.zeros(m.shape, kind)
+    for row, dim in places:  # a segment as rows, and the length of what it leaves unseen
+        part, value = np.zeros(m.shape, kind), m[row, dim]
         part[row, dim] = value
         left = left - np.bincount(row, value.astype(np.float64) ** 2, len(m))
         parts.append((part.T, np.sqrt(np.maximum(left, 0)) * (1 + 1e-6)))
@@ -135,7 +136,7 @@ def _search(k: int):
             for n in range(batch.num_rows):
                 r = batch.slice(n, 1).to_pylist()[0]
                 (q_ids, q), (ids, m) = _unpack(r, "q_"), _unpack(r, "")
-                segments = [tuple(np.frombuffer(r[c][i], t) for c, t in (("seg_row", np.int32), ("seg_dim", np.int32), ("seg_value", np.int64))) for i in range(len(r["seg_row"]))]
+                segments = [np.frombuffer(x, np.int32) for x in r["segments"]]
                 found = search_block(q_ids, q, ids, m, segments, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
@@ -152,11 +153,11 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 20, scale: int = 64) -
     every index block once, in a task of its own, with bounded memory."""
     scratch = Scratch(vectors.sparkSession, "topk")
     v = scratch.keep(quantised(vectors, scale))
-    n = v.count()
-    blocks = max(1, math.ceil(n / BLOCK_ROWS), min(32, n // LEAST_ROWS))
+    blocks = max(1, math.ceil(v.count() / BLOCK_ROWS))
     q = v.where(queries)
-    q_blocks = max(1, math.ceil(q.count() / QUERY_ROWS))
-    index = scratch.keep(v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInArrow(_packed("index"), _PACKED + ", seg_row array<binary>, seg_dim array<binary>, seg_value array<binary>"))
+    n = q.count()
+    q_blocks = max(1, math.ceil(n / QUERY_ROWS), min(math.ceil(TASKS / blocks), n // LEAST_ROWS))
+    index = scratch.keep(v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInArrow(_packed("index"), _PACKED + ", segments array<binary>"))
     asked = scratch.keep(q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))).groupBy("block").applyInArrow(_packed("query"), _PACKED))
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
     pairs = index.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<long>"))).join(asked, "q_block")

@@ -34,7 +34,7 @@ def test_against_brute_force(spark, monkeypatch):
     rows = [(i, [c + rng.gauss(0, 0.1) for c in centres[i % 4]], 0, 0, 0) for i in range(700)]
     rows += [(700 + i, rows[0][1], 0, 0, 0) for i in range(30)]  # ties
     rows += [(2000, None, 0, 0, 0), (2010, [None] * 16, 0, 0, 0), (2020, [float("nan")] * 16, 0, 0, 0), (2030, [float("inf")] * 16, 0, 0, 0), (None, [0.1] * 16, 0, 0, 0), (20, rows[20][1], 1, 1, 1)]
-    monkeypatch.setattr(topk, "LEAST_ROWS", 100)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
     monkeypatch.setattr(topk, "QUERY_ROWS", 40)
     assert found(spark.createDataFrame(rows, SCHEMA), 20, 10) == brute(rows, 20, 10)
 
