@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii
+from .common import SPACES, Scratch, lower_ascii
 
 #: Lines held by one number of a bitmap.
 BITS = 60
@@ -44,7 +44,8 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True) ->
     A line goes if documents with min_docs different ids hold its key (a null id counts
     as one id); with keep_first its first occurrence by (doc_id, position) stays.
     With min_docs = 1 and keep_first, repeats inside one document go too."""
-    lines = _keyed(docs)
+    scratch = Scratch(docs.sparkSession, "lines")
+    lines, lines_at = scratch.write(_keyed(docs))  # hashed once; read twice
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lines.repartitionByRange(n, "h1", "h2", "_id", "_th", "pos").sortWithinPartitions("h1", "h2", "_id", "_th", "pos")
     # a key and document once, then a count of documents: both start inside the sorted partitions
@@ -53,6 +54,7 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True) ->
     keys = by_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"), first)
     bad = keys.where((F.col("n_docs") >= min_docs) & (F.col("n") >= 2 if keep_first else F.lit(True)))
     bad = bad.select("h1", "h2", F.col("first._id").alias("f_id"), F.col("first.at._th").alias("f_th"), F.col("first.at.pos").alias("f_pos"))
+    bad, bad_at = scratch.write(bad)  # a table, so that the join can split the rows of a frequent line
     hits = lines.join(bad, ["h1", "h2"])
     if keep_first:
         hits = hits.where(~(F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_th") == F.col("f_th")) & (F.col("pos") == F.col("f_pos"))))
@@ -60,7 +62,10 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True) ->
     at = hits.groupBy("_id", "_th", F.expr(f"pos div {BITS}").cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, pos % {BITS}))").alias("bits"), F.count(F.lit(1)).alias("n"))
     packed = at.groupBy("_id", "_th").agg(F.sum("n").alias("n_dropped"), F.max("w").alias("last"), F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
     words = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
-    return packed.select("_id", "_th", "n_dropped", words.alias("words"))
+    out = scratch.keep(packed.select("_id", "_th", "n_dropped", words.alias("words")))
+    scratch.drop(lines_at)
+    scratch.drop(bad_at)
+    return out
 
 
 def with_kept(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
