@@ -69,10 +69,13 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True) ->
 
 
 def with_kept(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with _n_lines, _n_dropped and _kept, the text of the lines that stay."""
+    """docs with _n_lines, _n_dropped and _kept, the text of the lines that stay.
+
+    The bitmaps grow with the documents and are larger in memory than their compressed file
+    says, so they are never broadcast by estimate: the plan is the same at every size."""
     text = F.col("text").cast("string")
     base = docs.withColumns({"_lid": F.col("doc_id").cast("long"), "_lth": F.xxhash64(text)})
-    joined = base.join(bitmaps, F.col("_lid").eqNullSafe(F.col("_id")) & (F.col("_lth") == F.col("_th")), "left")
+    joined = base.join(bitmaps.hint("merge"), F.col("_lid").eqNullSafe(F.col("_id")) & (F.col("_lth") == F.col("_th")), "left")
     lines = lines_of(text)
     bit = "shiftright(coalesce(try_element_at(words, cast(i div {b} as int) + 1), 0L), cast(i % {b} as int)) & 1L".format(b=BITS)
     kept = F.when(F.col("words").isNull(), F.coalesce(text, F.lit(""))).otherwise(
