@@ -189,16 +189,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
     scratch = Scratch(docs.sparkSession, "substring")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("k1"), F.xxhash64(text).alias("k2"))
-    seeds = scratch.keep(rows.select("k1", "k2", "text").mapInArrow(_seeds(window, seed_words), "h long, k1 long, k2 long, first int"))
+    seeds, seeds_at = scratch.write(rows.select("k1", "k2", "text").mapInArrow(_seeds(window, seed_words), "h long, k1 long, k2 long, first int"))
     again = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > GROUP_ROWS).alias("hot"))
-    named = scratch.keep(seeds.join(again, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "hot")).alias("a")).select("k1", "k2", F.col("a.first").alias("firsts"), F.col("a.hot").alias("hot")))
-    windows = scratch.keep(rows.join(named, ["k1", "k2"]).select("k1", "k2", "text", "firsts", "hot").mapInArrow(_extend(window, seed_words), "h long, k1 long, k2 long, first int, hot boolean, windows binary"))
+    again, again_at = scratch.write(again)  # a table, so that the join can split the rows of a frequent anchor
+    named = seeds.join(again, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "hot")).alias("a"))
+    named, named_at = scratch.write(named.select("k1", "k2", F.col("a.first").alias("firsts"), F.col("a.hot").alias("hot")))
+    scratch.drop(seeds_at)
+    scratch.drop(again_at)
+    windows, windows_at = scratch.write(rows.join(named, ["k1", "k2"]).select("k1", "k2", "text", "firsts", "hot").mapInArrow(_extend(window, seed_words), "h long, k1 long, k2 long, first int, hot boolean, windows binary"))
+    scratch.drop(named_at)
     usual = windows.where("not hot").select("h", "k1", "k2", "first", "windows").repartition("h").sortWithinPartitions("h").mapInArrow(_match, "k1 long, k2 long, first int, mask long")
     single = windows.where("hot").mapInArrow(_singles, "h long, k1 long, k2 long, first int, bit int, w long")
-    counted = single.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "w")
+    counted = scratch.keep(single.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "w"))
     hot = single.join(counted, ["h", "w"]).groupBy("k1", "k2", "first").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
     found = usual.unionByName(hot).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "mask")).alias("a")).select("k1", "k2", F.col("a.first").alias("firsts"), F.col("a.mask").alias("masks"))
     found = scratch.keep(found)
+    scratch.drop(windows_at)
     out = rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "firsts", "masks").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")
 
