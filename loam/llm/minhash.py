@@ -1,0 +1,141 @@
+"""Near-duplicate documents by word 5-shingles with a Jaccard similarity of 0.8 or more.
+
+Candidates share one of BANDS keys, each of ROWS MinHashes: a pair at similarity s
+shares none with probability (1 - s ** ROWS) ** BANDS, 3 in 100,000 at 0.8 and fewer
+above. Every link is verified on the two sets of shingles (by 64-bit hashes)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import LOWER, UPPER, Powers, Scratch, Words, _splitmix, chunks, column, mix, signed
+from .components import components
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 20, 4
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[list(UPPER.encode())] = list(LOWER.encode())
+_FACTORS = _splitmix(BANDS * ROWS, 0xBA2D) | np.uint64(1)
+
+
+class Shingles:
+    """Hashes of the shingles of many texts: 5 words each, or all words of a shorter text."""
+
+    def __init__(self) -> None:
+        self.words, self.powers = Words("space"), Powers(0x9FB21C651E98DF25)
+
+    def split(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles' hashes, and their number up to the end of each text."""
+        h, _, _, upto = self.words.split(_LOWERED[data], ends)
+        end = np.repeat(upto, np.diff(np.concatenate([[0], upto])))  # of the text of each word
+        begin = np.concatenate([[True], end[1:] != end[:-1]]) if len(end) else np.empty(0, bool)
+        at = np.arange(len(h))
+        starts = at[begin | (at + SHINGLE <= end)]
+        stops = np.minimum(starts + SHINGLE, end[starts])
+        up, down = self.powers.get(len(h) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
+            out = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+        return out, np.searchsorted(starts, upto, "left")
+
+
+def keys_of(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each text; all texts without words have the same."""
+    sizes = np.diff(np.concatenate([[0], upto]))
+    full = np.flatnonzero(sizes)
+    begins = upto[full] - sizes[full]
+    out = np.zeros((len(upto), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for k, factor in enumerate(_FACTORS):
+            if len(full):
+                out[full, k // ROWS] = mix(out[full, k // ROWS] + np.minimum.reduceat(hashes * factor, begins))
+        return mix(out + np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles = Shingles()
+    for batch in batches:
+        parts = [keys_of(*shingles.split(data, ends)) for _, _, data, ends in chunks(column(batch, "text"))]
+        flat = signed(np.concatenate(parts)).ravel() if parts else np.empty(0, np.int64)
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "th"), keys], ["doc_id", "th", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles = Shingles()
+    for batch in batches:
+        sets = []
+        for _, _, data, ends in chunks(column(batch, "text")):
+            h, upto = shingles.split(data, ends)
+            sets += [np.unique(x).tobytes() for x in np.split(h, upto[:-1])]
+        yield pa.RecordBatch.from_arrays([column(batch, "th"), pa.array(sets, pa.binary())], ["th", "set"])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 1 for two empty ones."""
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common) if len(both) else 1.0
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(column(batch, "x"), column(batch, "y"), strict=True)
+        ok = [jaccard(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair)) >= SIMILARITY for pair in pairs]
+        yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+
+def _roots(docs: DataFrame, scratch: Scratch, prints: DataFrame) -> DataFrame:
+    """node, root (hashes of texts) of every text with a link.
+
+    In each bucket all texts are first compared with two of them, so that a large group of
+    near copies takes no square of comparisons; then what is in one bucket but not yet
+    in one component is compared pair by pair."""
+    keys = prints.select("th", "keys").dropDuplicates(["th"]).select("th", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low < high")
+    members = scratch.keep(keys.join(shared, "key"))
+    needed = members.select("th").distinct()
+    texts = docs.select(F.xxhash64(docs["text"].cast("string")).alias("th"), docs["text"].cast("string").alias("text"))
+    sets = scratch.keep(texts.join(needed, "th", "left_semi").dropDuplicates(["th"]).mapInArrow(_sets, "th long, set binary"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = sets.select(F.col("th").alias("a"), F.col("set").alias("x")), sets.select(F.col("th").alias("b"), F.col("set").alias("y"))
+        return scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean"))
+
+    ends = members.select("th", F.explode(F.array("low", "high")).alias("end")).where("th <> end")
+    first = verified(ends.select(F.least("th", "end").alias("a"), F.greatest("th", "end").alias("b")).distinct())
+    roots = components(first.where("ok"), scratch).withColumnRenamed("node", "th")
+    placed = members.join(roots, "th", "left").select("key", "th", F.coalesce("root", "th").alias("root"))
+    several = placed.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l < h").select("key")
+    placed = scratch.keep(placed.join(several, "key"))
+    p, q = placed.alias("p"), placed.alias("q")
+    apart = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.th") < F.col("q.th")) & (F.col("p.root") != F.col("q.root")))
+    apart = apart.select(F.col("p.th").alias("a"), F.col("q.th").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = verified(apart)
+    return components(first.where("ok").unionByName(second.where("ok")), scratch)
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """The rows of docs, but of each group of near duplicates only that with the smallest
+    doc_id (null last; then by the text's hash; of repeated rows one stays).
+
+    Near duplicates are texts with a Jaccard similarity of SIMILARITY or more over their
+    shingles of five words (A-Z lowered), and what such links connect; null and empty
+    texts and texts of white space are alike. Extra columns of docs stay; doc_id and text
+    are needed."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    prints = scratch.keep(rows.mapInArrow(_keys, "doc_id long, th long, keys array<long>"))
+    roots = _roots(docs, scratch, prints).withColumnRenamed("node", "th")
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")
+    best = prints.groupBy("th").agg(F.min(rank).alias("k")).join(roots, "th", "left").groupBy(F.coalesce("root", "th").alias("root")).agg(F.min("k").alias("k"))
+    keep = best.select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
+    th = F.xxhash64(docs["text"].cast("string"))
+    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (th == keep["_th"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
