@@ -1,6 +1,7 @@
 """Benchmark decontamination over a BM25 index of test items (operator 3).
 
-The index holds the test items (in pieces of at most 64 tokens), not the corpus.
+The index holds the test items, not the corpus: those of over 64 tokens by pieces of
+their question, of nearly equal length and 64 tokens at most.
 Every training passage (128 tokens, a new one every 64) is a query. An item is a hit
 if its BM25 score reaches the item's own threshold, set so low that no passage which
 would pass the verification can miss it. Impacts are divided by that threshold, so
@@ -13,7 +14,10 @@ impacts, then all its impacts, must reach 1. For each passage of the segments le
 block-max WAND over the postings, by item.
 
 Hits are verified by the overlap of the question (5-word shingles) and of the answer
-(words), both at least 0.8 in the passage.
+(words), both at least 0.8 in the passage. Pieces only retrieve: each shingle of a long
+question is in one piece, so that a text with 0.8 of them has 0.8 of some piece's. A hit is
+verified by the whole item, in the passage widened by what the item has before and after
+the piece.
 """
 
 from __future__ import annotations
@@ -57,11 +61,33 @@ class Piece:
     cut: int
     question: set = field(default_factory=set)
     answer: set = field(default_factory=set)
+    #: Of a piece of a long item: the item, and how many of its tokens lie before and after the piece.
+    whole: Piece | None = None
+    before: int = 0
+    after: int = 0
+    #: Words that may be missing for each missing shingle.
+    words_each: int = 1
 
     def __post_init__(self) -> None:
         self.question, self.answer = shingles(self.tokens[: self.cut]), set(self.tokens[self.cut :])
 
 
+def split(whole: Piece) -> Iterator[Piece]:
+    """Pieces of the question; a shingle that repeats counts for the first piece that has it."""
+    q, seen = whole.tokens[: whole.cut], set()
+    n = max(1, len(q) - SHINGLE + 1)
+    for part in np.array_split(np.arange(n), -(-n // (PIECE - SHINGLE + 1))):
+        a, b = int(part[0]), min(len(q), int(part[-1]) + SHINGLE)
+        mine = shingles(q[a:b]) - seen
+        if not mine:
+            continue
+        seen |= mine
+        words = {t for s in mine for t in s}
+        piece = Piece(whole.item, [t for t in q[a:b] if t in words], b - a, whole=whole, before=a, after=len(whole.tokens) - b)
+        piece.question, piece.words_each = mine, 1 if len(mine) == len(part) else SHINGLE
+        yield piece
+
+
 @dataclass
 class Index:
     """Lists by term: the pieces in order, their impacts over the threshold, maxima by block."""
@@ -82,10 +108,11 @@ def pieces_of(items: list[tuple[int, str]]) -> list[Piece]:
         raw = np.frombuffer(text.encode(), np.uint8)
         h, starts, _, _ = words.split(raw, np.array([len(raw)]))
         tokens, mark = h.tolist(), text.encode().rfind(b"?")
-        for at in range(0, len(tokens), PIECE):
-            part = tokens[at : at + PIECE]
-            asked = int(np.searchsorted(starts, mark)) - at if mark >= 0 else None
-            out.append(Piece(item, part, question_and_answer(len(part), asked)))
+        if not tokens:
+            continue
+        asked = int(np.searchsorted(starts, mark)) if mark >= 0 else None
+        whole = Piece(item, tokens, question_and_answer(len(tokens), asked))
+        out.extend(split(whole) if len(tokens) > PIECE else [whole])
     return out
 
 
@@ -109,7 +136,7 @@ def build(pieces: list[Piece]) -> Index:
         impact = {t: float(idf[t]) * n * (K1 + 1) / (n + norm) for t, n in counts.items()}
         total = sum(impact.values())
         # a passage that passes misses at most this many of the piece's words: each missing word costs a shingle or an answer word
-        missing = math.floor((1 - OVERLAP) * len(p.question) + 1e-9) + math.floor((1 - OVERLAP) * len(p.answer) + 1e-9)
+        missing = p.words_each * math.floor((1 - OVERLAP) * len(p.question) + 1e-9) + math.floor((1 - OVERLAP) * len(p.answer) + 1e-9)
         bound = max((total - sum(sorted(impact.values(), reverse=True)[:missing])) * (1 - 1e-9), 1e-9)
         own.append(total)
         least.append(bound)
@@ -267,14 +294,23 @@ def inspect(index: Index, tokens: np.ndarray, ids: np.ndarray, segments: list[in
         have, words = shingles_of_any(mine), set(mine)
         for d in hits:
             p = index.pieces[d]
-            question = sum(len(s) == SHINGLE and s in have or len(s) < SHINGLE and contains(mine, s) for s in p.question) / len(p.question)
-            answer = len(p.answer & words) / len(p.answer) if p.answer else 1.0
+            if p.whole:
+                wide = tokens[max(0, a - p.before) : b + p.after].tolist()
+                question, answer = overlaps(p.whole, wide, shingles_of_any(wide), set(wide))
+            else:
+                question, answer = overlaps(p, mine, have, words)
             if question >= OVERLAP and answer >= OVERLAP:
                 score = sum(x for t in terms for x in impact_of(index, t, d)) * float(index.threshold[d])
                 best[p.item] = max(best.get(p.item, (0.0, 0.0, 0.0)), (score, question, answer))
     return [(item, *v) for item, v in sorted(best.items())]
 
 
+def overlaps(p: Piece, mine: list[int], have: set, words: set) -> tuple[float, float]:
+    """Of question and answer, in tokens with these shingles and words."""
+    question = sum(len(s) == SHINGLE and s in have or len(s) < SHINGLE and contains(mine, s) for s in p.question) / len(p.question)
+    return question, len(p.answer & words) / len(p.answer) if p.answer else 1.0
+
+
 def shingles_of_any(tokens: list[int]) -> set[tuple[int, ...]]:
     return {tuple(tokens[i : i + SHINGLE]) for i in range(len(tokens) - SHINGLE + 1)}
 

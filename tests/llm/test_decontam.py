@@ -73,3 +73,23 @@ def test_wand_finds_all_above_the_threshold():
             terms = sorted(set(terms) | set(np.searchsorted(index.vocabulary, np.array(p.tokens, np.uint64)).tolist()))
         want = [i for i in range(len(pieces)) if sum(x for t in terms for x in d.impact_of(index, t, i)) >= 1 - 1e-9]
         assert sorted(d.wand(index, terms)) == want
+
+
+def test_long_items_as_a_whole(spark):
+    rng = random.Random(8)
+    fresh = lambda n, tag: [f"{tag}{i}x{rng.randrange(1000)}" for i in range(n)]
+    items = [(n, fresh(n, f"i{n}w")) for n in (64, 65, 66, 68, 128, 129, 130, 400)]
+    docs, want = [], set()
+    for n, words in items:
+        half = n // 2
+        for part in (words[-1:], words[-4:], words[:half], words[half:]):  # not the item
+            docs.append(fresh(100, "c") + part + fresh(100, "d"))
+        for at in (0, 1, 30, 63, 64, 100, 127):  # the item, wherever passages begin
+            altered = list(words)
+            altered[rng.randrange(n)] = "zzz"
+            for held in (words, altered):
+                want.add((len(docs), n))
+                docs.append(fresh(at, "c") + held + fresh(150, "d"))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(df, b).collect()} == want
