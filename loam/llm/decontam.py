@@ -341,9 +341,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs needs doc_id and text, benchmark item_id and text. Tokens are runs of letters and
     digits, A-Z lowered. Null and empty texts hold nothing; items without tokens are in no
     text. Rows that repeat give rows that repeat."""
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    return _found(docs, benchmark).drop("th")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contaminated() with th, the hash of the text."""
+    schema = "doc_id long, th long, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     for items in _shards(benchmark):
         pieces = pieces_of(items)
         shipped = docs.sparkSession.sparkContext.broadcast(build(pieces) if pieces else None)
@@ -364,7 +370,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             found.append(r)
                             at.append(lo + t)
                 if found:
-                    yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(at)), *(pa.array(list(c)) for c in zip(*found, strict=True))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    ids_of = (column(batch, c).take(pa.array(at)) for c in ("doc_id", "th"))
+                    yield pa.RecordBatch.from_arrays([*ids_of, *(pa.array(list(c)) for c in zip(*found, strict=True))], ["doc_id", "th", "item_id", "score", "question_overlap", "answer_overlap"])
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -372,7 +379,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no test item is found (by doc_id: rows that share an id go
-    or stay together; rows without id that hold an item go, which takes all rows without id)."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs in which no test item is found. Rows go by doc_id and the text's hash, so
+    that clean rows stay which have no id or share that of a row with an item."""
+    bad = _found(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("th").alias("_th")).distinct()
+    th = F.xxhash64(F.col("text").cast("string"))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")) & (th == F.col("_th")), "left_anti")

@@ -93,3 +93,11 @@ def test_long_items_as_a_whole(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(2)
     b = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in d.contaminated(df, b).collect()} == want
+
+
+def test_clean_rows_without_id_or_with_a_shared_one_stay(spark):
+    rng = random.Random(9)
+    item, clean = prose(rng, 30), [prose(rng, 60) for _ in range(4)]
+    rows = [(None, clean[0] + " " + item), (None, clean[1]), (None, None), (7, item), (7, clean[2]), (8, clean[3])]
+    got = d.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[i] for i in (1, 2, 4, 5)]))
