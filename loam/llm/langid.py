@@ -168,8 +168,9 @@ def viterbi(score: np.ndarray, switch: float) -> np.ndarray:
 def label(score: np.ndarray, upto: np.ndarray, switch: float) -> np.ndarray:
     """Language of each word; upto: number of words up to the end of each text.
 
-    Where no run of words gains more than one switch for any other language over the one
-    that is best for the whole text, that language throughout is the best path; only
+    Where no run of words gains more than half a switch for any other language over the one
+    that is best for the whole text, that language throughout is the best path: S segments
+    gain S / 2 switches at most and cost S - 1, and one segment alone gains nothing. Only
     other texts go through Viterbi."""
     sizes = np.diff(np.concatenate([[0], upto]))
     full = np.flatnonzero(sizes)
@@ -189,7 +190,7 @@ def label(score: np.ndarray, upto: np.ndarray, switch: float) -> np.ndarray:
         sums = sums - drop
         low = np.minimum.accumulate(sums - gain)  # the least sum before any word of the text so far
         rise = np.maximum.reduceat(sums - low, begins)
-        mixed |= rise > switch * (1 - 1e-9)
+        mixed |= rise > switch / 2 * (1 - 1e-9)
     for i in np.flatnonzero(mixed):
         at = slice(begins[i], begins[i] + sizes[full[i]])
         out[at] = viterbi(score[at], switch)

@@ -33,6 +33,11 @@ def test_viterbi_is_the_best_path_and_the_shortcut_agrees():
         at = to
 
 
+def test_two_languages_where_a_third_is_best_over_all():
+    score = np.array([[0, -5, -20]] * 2 + [[-20, -5, 0]] * 2, float)
+    assert langid.label(score, np.array([4]), 12).tolist() == langid.viterbi(score, 12).tolist() == [0, 0, 2, 2]
+
+
 def test_edges(edge, none):
     got = langid.identify(edge, spans=True).collect()
     assert len(got) == len(edge_rows())
