@@ -47,7 +47,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of training, with size, source_size, target, taken, repeats and position."""
+    """All documents, in the order of their first passes, with size, source_size, target, taken, repeats,
+    position and positions, one for each pass."""
     return mixing.mix(docs.select(*DOCUMENT_COLUMNS))
 
 

@@ -58,8 +58,9 @@ def due(words: Column, target: Column, slope: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: str = "mix") -> DataFrame:
     """All rows of docs with size (words), source_size, target, taken (words the mix
-    takes, repeats counted), repeats (passes that take words) and position (0 to 1, when
-    the first is due; null: never), in the order of training.
+    takes, repeats counted), repeats (passes that take words), position (0 to 1, when
+    the first is due; null: never) and positions (when each of these passes is due), in
+    the order of the first passes.
 
     docs needs doc_id, text and source. Null texts have 0 words; a null source is a source
     of its own. The order within a source is that of md5(doc_id, seed), doc_id and the text's
@@ -79,6 +80,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     taken = [F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), F.floor("target") - (F.col("_start") + F.col("source_size") * p))) for p in range(passes)]
     rows = rows.withColumns({"taken": F.floor(sum(taken[1:], taken[0])).cast("long"), "repeats": sum((F.when(t > 0, 1).otherwise(0) for t in taken[1:]), F.when(taken[0] > 0, 1).otherwise(0))})
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, due(F.col("_start").cast("double"), F.col("target"), F.col("slope"))))
+    each = [F.when(t > 0, due((F.col("_start") + F.col("source_size") * p).cast("double"), F.col("target"), F.col("slope"))) for p, t in enumerate(taken)]
+    rows = rows.withColumn("positions", F.array_compact(F.array(*each)))
     return rows.drop("_h", "_th", "_slot", "_before", "_start", "slope").orderBy("position", "doc_id")
 
 

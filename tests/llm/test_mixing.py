@@ -69,3 +69,19 @@ def test_due_inverts_the_demand(spark):
     demand = 1000.0 * (F.col("t") + F.col("s") * (F.col("t") * F.col("t") - F.col("t")))
     worst = c.select(F.abs(mixing.due(demand, F.lit(1000.0), F.col("s")) - F.col("t")).alias("e")).agg(F.max("e")).first()[0]
     assert worst < 1e-9
+
+
+def test_every_pass_has_a_position(spark):
+    rows = [(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(300)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert any(r.repeats == 2 for r in out)
+    for r in out:
+        assert len(r.positions) == r.repeats and r.positions == sorted(r.positions) and (r.positions or [None])[0] == r.position
+    for source in "abc":  # words due by the end of the first pass and after it
+        mine = [r for r in out if r.source == source]
+        due = sorted((x, r.size) for r in mine for x in r.positions)
+        slope = mixing.SLOPES["abc".index(source) % len(mixing.SLOPES)]
+        upto = 0
+        for x, n in due:  # the share of the target due at x: the rate 1 - slope + 2 * slope * x, integrated
+            assert abs((1 - slope) * x + slope * x * x - upto / mine[0].target) < 1e-6
+            upto += n
