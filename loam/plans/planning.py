@@ -126,7 +126,7 @@ def adaptive_prior(t: Tables):
     x, y = v[0].cast("double"), v[1].cast("double")
     grid = t.embeddings.groupBy(geo.cell(y, 0.0, 0.05).alias("row"), geo.cell(x, 0.0, 0.05).alias("col"), F.col("label").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     codes = grid.groupBy("row", "col").agg(F.sum("n").alias("s")).select("row", "col", F.when(F.col("s") >= 4, 0).otherwise(1).alias("code"))
-    points = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 != 0, x).alias("x"), F.when(F.col("vec_id") % 7 != 0, y).alias("y"))
+    points = t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 != 0, x).alias("x"), F.when(F.col("vec_id") % 7 != 0, y).alias("y"))
     f = sc.class_frequency(t.embeddings.select(F.col("label").alias("cls")).distinct(), t.embeddings.select(F.col("label").alias("cls")))
     return sc.adaptive_prior(points, grid, codes, [(0.04, 0.5), (0.08, 1.0), (0.1, 2.0)], f, 0.05).withColumn("lp", F.round("lp", 6))
 
