@@ -133,5 +133,7 @@ def adaptive_prior(t: Tables):
 
 @query()
 def labelled_sections(t: Tables):
-    pages = t.conversations.where("turn = 0").select(F.col("conv_id").alias("page"), F.concat(F.lit("Name: "), F.col("role"), F.lit("\nNotes\n"), F.substring("text", 1, 50), F.lit("\n\nEnd")).alias("text"))
+    """A page for each turn of each conversation."""
+    page = F.concat_ws("/", "conv_id", "turn").alias("page")
+    pages = t.conversations.select(page, F.concat(F.lit("Name: "), F.col("role"), F.lit("\nNotes\n"), F.col("text"), F.lit("\n\nEnd")).alias("text"))
     return layout.sections(pages, ["Name", "Notes"])

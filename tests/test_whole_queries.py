@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from loam.plans import queries
 
@@ -13,3 +14,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables
 def test_adaptive_prior_scores_every_point(spark):
     ids = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()}
     assert {r.id for r in queries()["adaptive_prior"](spark, DATA).select("id").distinct().collect()} == ids
+
+
+def test_labelled_sections_reads_every_turn_whole(spark):
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet")
+    got = queries()["labelled_sections"](spark, DATA).collect()
+    assert {r.page for r in got} == {f"{r.conv_id}/{r.turn}" for r in turns.select("conv_id", "turn").collect()}
+    longest = turns.agg(F.max(F.length(F.split("text", "\n")[0]))).first()[0]
+    assert max(len(r.value or "") for r in got if r.label == "Notes") >= min(longest, 51) > 50
