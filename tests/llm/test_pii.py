@@ -93,7 +93,7 @@ LABELLED = [  # a text, with what is personal in [[ ]]
     "write to [[jane.doe{n} [at] example [dot] com]] now", "her IBAN [[DE89 3704 0044 0532 0130 00]] is known", "pay to account [[DE89370400440532013000]] please", "server [[2001:db8:85a3::8a2e:370:{n}]] answered",
     'the api_key = "x" was left, but not [[secret = "9f{n}8a7b6c5d4e3f2a1b0c9d"]] there', "SSN: [[123-45-{n}]] on file", "we met with [[Maria Lopez]] and left", "ring [[(415) 555-{n}]] soon",
     "see section 415-555-{n} of the manual", "order number 020 7946 {n} was shipped", "ISBN 978-{n}-55-1 of the book", "invoice no 123-45-{n} is due", "New York City is big", "at 10:20:{n} it rained",
-    "part XX12 ABCD 1234 5678 9999 is out", "serial 415-555-{n} of the pump", "The Old Man sat down", "version 4.{n} is out", "token of thanks", "figure 212-555-{n} shows",
+    "part XX12 ABCD WXYZ 5678 9999 is out", "serial 415-555-{n} of the pump", "The Old Man sat down", "version 4.{n} is out", "token of thanks", "figure 212-555-{n} shows",
 ]
 
 
