@@ -49,14 +49,23 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.n == 1:  # what the steps did not drop goes with the session
+            at = self._path(self.root)
+            self._files(at).deleteOnExit(at)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def keep(self, df: DataFrame) -> DataFrame:
         return self.write(df)[0]
 
     def drop(self, path: str) -> None:
-        jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        at = self._path(path)
+        self._files(at).delete(at, True)
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, at):
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def lower_ascii(c: Column) -> Column:
@@ -110,17 +119,40 @@ def rolling(values: np.ndarray, k: int, powers: Powers) -> np.ndarray:
         return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
+#: Code points from, to (inclusive) that are no letters though beyond ASCII.
+SIGNS = ((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x206F), (0x20A0, 0x20CF), (0x2190, 0x2BFF), (0x3000, 0x3004), (0x3008, 0x3020), (0xFE00, 0xFE0F), (0xFF01, 0xFF0F), (0x1F000, 0x1FAFF))
+
+
+def not_letters(data: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to one of SIGNS."""
+    out = np.zeros(len(data), bool)
+    if not len(data) or data.max() < 0xC2:
+        return out
+    at = np.flatnonzero((data == 0xC2) | (data == 0xC3) | (data == 0xE2) | (data == 0xE3) | (data == 0xEF) | (data == 0xF0))
+    a, b, c, d = (np.where(at + i < len(data), data[np.minimum(at + i, len(data) - 1)], 0).astype(np.int64) for i in range(4))
+    size = np.where(a < 0xE0, 2, np.where(a < 0xF0, 3, 4))
+    point = np.where(size == 2, (a & 31) << 6 | b & 63, np.where(size == 3, (a & 15) << 12 | (b & 63) << 6 | c & 63, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63))
+    sign = np.zeros(len(at), bool)
+    for lo, hi in SIGNS:
+        sign |= (point >= lo) & (point <= hi)
+    for i in range(4):
+        mine = at[sign & (size > i)] + i
+        out[mine[mine < len(data)]] = True
+    return out
+
+
 class Words:
     """Splits many texts at once and hashes each word, all in numpy.
 
     kind "space": words are runs of bytes other than 0x20 and 0x09-0x0D.
     kind "alnum": runs of ASCII letters, digits and non-ASCII bytes, A-Z lowered.
-    kind "letter": the same without digits.
+    kind "letter": the same without digits, and without the signs, dashes, quotes, arrows and
+    pictures among the non-ASCII characters (see not_letters).
     """
 
     def __init__(self, kind: str):
         table_ = _splitmix(256, 0x5EED)
-        b = np.arange(256)
+        self.kind, b = kind, np.arange(256)
         if kind == "space":
             self.inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
         else:
@@ -151,6 +183,8 @@ class Words:
 
     def _split(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         inside = self.inside[data]
+        if self.kind == "letter":
+            inside &= ~not_letters(data)
         if not len(data):
             none = np.empty(0, np.int64)
             return np.empty(0, np.uint64), none, none, np.zeros(len(ends), np.int64)

@@ -8,6 +8,7 @@ that hold most of its letters.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import Words, chunks, column, mix
 
-#: Labelled documents to learn from, at most; buckets that n-grams hash into; longest n-gram in bytes.
-SAMPLE_DOCS, BUCKETS, LONGEST = 4000, 1 << 17, 4
+#: Labelled documents of each language to learn from, about; longest n-gram in bytes.
+SAMPLE_DOCS, LONGEST = 1000, 4
+#: Buckets that n-grams hash into, and bytes of the largest model; with very many languages there are fewer buckets.
+BUCKETS, MODEL_BYTES, LEAST_BUCKETS = 1 << 17, 64 << 20, 1 << 10
 #: What a change of language costs, in units of a word's mean log probability an n-gram order.
 SWITCH = 12.0
 UNDETERMINED = "und"
@@ -35,7 +38,15 @@ SCRIPT_SHARE = 0.01
 _NEVER = -1e4
 
 
-def features(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(languages: int) -> int:
+    """As many as keep a model of so many languages, in single precision, within MODEL_BYTES."""
+    n = BUCKETS
+    while n > LEAST_BUCKETS and n * languages * 4 > MODEL_BYTES:
+        n //= 2
+    return n
+
+
+def features(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, n_buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each n-gram (1 to LONGEST bytes, with a mark at each end) and its word."""
     lengths = stops - starts + 2
     ends = np.cumsum(lengths)
@@ -56,7 +67,7 @@ def features(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[n
         fine = left[: total - n + 1] >= n
         if n == 1:
             fine &= ~mark
-        buckets.append((mix(code[fine] + (np.uint64(n) << np.uint64(40))) % np.uint64(BUCKETS)).astype(np.int64))
+        buckets.append((mix(code[fine] + (np.uint64(n) << np.uint64(40))) % np.uint64(n_buckets)).astype(np.int64))
         owners.append(word[: total - n + 1][fine])
     return (np.concatenate(buckets), np.concatenate(owners)) if buckets else (np.empty(0, np.int64),) * 2
 
@@ -85,7 +96,7 @@ class Model:
 
     def score(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """word x language: log probabilities less the mean, by the n-gram orders."""
-        bucket, owner = features(data, starts, stops)
+        bucket, owner = features(data, starts, stops, len(self.weight))
         out = np.stack([np.bincount(owner, self.weight[bucket, k], len(starts)) for k in range(len(self.languages))], axis=1) / LONGEST
         allowed = self.allowed[scripts(data, starts)]
         none = ~allowed.any(axis=1)
@@ -101,15 +112,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Learns from text and lang of at most sample_docs labelled documents that are not
-    held out: those whose hashed ids come first. What reaches the driver is bounded by
-    that sample and by BUCKETS, whatever the size of docs."""
+    """Learns from text and lang of about sample_docs labelled documents of each language that
+    are not held out: those whose hashed ids lie below a threshold set from the language's
+    count, so that rare languages are learned whole. What reaches the driver is a count and
+    a table of n-grams by language, whatever the size of docs."""
     text = F.col("text").cast("string")
     usable = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    rank = F.xxhash64(F.lit("langid"), F.col("doc_id"))
-    picked = [r.r for r in usable.select(rank.alias("r")).orderBy("r").limit(sample_docs).collect()]
-    if not picked:
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
+    if not counted:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((14, 0), bool), 0)
+    buckets, scale = buckets_for(len(counted)), 1 << 30
+    below = docs.sparkSession.createDataFrame([(r.lang, math.ceil(scale * min(1.0, sample_docs / r.n))) for r in counted], "lang string, below long")
+    rank = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(scale))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words("letter")
@@ -118,29 +132,29 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
             for lo, hi, data, ends in chunks(column(batch, "text")):
                 _, starts, stops, upto = words.split(data, ends)
                 lang_of = np.repeat(label[lo:hi], np.diff(np.concatenate([[0], upto])))
-                bucket, owner = features(data, starts, stops)
+                bucket, owner = features(data, starts, stops, buckets)
                 script = scripts(data, starts)
                 for k in np.unique(lang_of):
-                    n = np.bincount(bucket[lang_of[owner] == k], minlength=BUCKETS)
+                    n = np.bincount(bucket[lang_of[owner] == k], minlength=buckets)
                     s = np.bincount(script[lang_of == k], minlength=14)
                     at, sat = np.flatnonzero(n), np.flatnonzero(s)
                     both = np.concatenate([at, -1 - sat])
                     yield pa.RecordBatch.from_arrays([pa.array([str(names[k])] * len(both)), pa.array(both), pa.array(np.concatenate([n[at], s[sat]]))], ["lang", "bucket", "n"])
 
-    sample = usable.where(rank <= picked[-1]).select("text", "lang")
+    sample = usable.join(below, "lang").where(rank < F.col("below")).select("text", "lang")
     counts = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts["lang"].to_pylist()))
     number = {x: k for k, x in enumerate(languages)}
     lang, bucket, n = np.array([number[x] for x in counts["lang"].to_pylist()], np.int64), counts["bucket"].to_numpy(), counts["n"].to_numpy().astype(float)
     gram = bucket >= 0
-    table = np.zeros((BUCKETS, len(languages)))
+    table = np.zeros((buckets, len(languages)), np.float64)
     table[bucket[gram], lang[gram]] = n[gram]
     seen = np.zeros((14, len(languages)))
     seen[-1 - bucket[~gram], lang[~gram]] = n[~gram]
     table += 0.5 * (table.sum(axis=1, keepdims=True) > 0)
     weight = np.where(table > 0, np.log(np.maximum(table, 1e-9) / table.sum(axis=0)), 0.0)
     weight -= weight.mean(axis=1, keepdims=True)
-    return Model(languages, weight, seen >= SCRIPT_SHARE * seen.sum(axis=0), int(seen.sum(axis=0).argmax()))
+    return Model(languages, weight.astype(np.float32), seen >= SCRIPT_SHARE * seen.sum(axis=0), int(seen.sum(axis=0).argmax()))
 
 
 def viterbi(score: np.ndarray, switch: float) -> np.ndarray:
@@ -202,10 +216,10 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
     in words (runs of letters; end exclusive).
 
     lang_pred: the language whose spans hold most letters (ties: first in the alphabet), score:
-    their share of the letters. A text that is null or has no letter: und, 0. Without any
+    their share of the letters. Columns of docs that are called so are replaced. A text that is null or has no letter: und, 0. Without any
     language learned, all are und. Words in a script that no language learned is written in
     count for none; a text of such words alone gets the most usual language with score 0."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most
     kinds = "lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
     schema = docs.drop("lang_pred", "score", "spans")
     names = schema.columns

@@ -38,8 +38,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True) -> DataFrame:
-    """_id, _th, n_dropped, words: for each document that loses lines, a bitmap of the
-    dropped ones: line p is bit p % 60 of words[p div 60] (missing: 0).
+    """_id, _th, _n (lines dropped), _words: for each document that loses lines, a bitmap of the
+    dropped ones: line p is bit p % 60 of _words[p div 60] (missing: 0).
 
     A line goes if documents with min_docs different ids hold its key (a null id counts
     as one id); with keep_first its first occurrence by (doc_id, position) stays.
@@ -60,9 +60,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True) ->
         hits = hits.where(~(F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_th") == F.col("f_th")) & (F.col("pos") == F.col("f_pos"))))
     hits = hits.select("_id", "_th", "pos").distinct()  # rows of a table that repeat are one document here
     at = hits.groupBy("_id", "_th", F.expr(f"pos div {BITS}").cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, pos % {BITS}))").alias("bits"), F.count(F.lit(1)).alias("n"))
-    packed = at.groupBy("_id", "_th").agg(F.sum("n").alias("n_dropped"), F.max("w").alias("last"), F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    packed = at.groupBy("_id", "_th").agg(F.sum("n").alias("_n"), F.max("w").alias("last"), F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
     words = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
-    out = scratch.keep(packed.select("_id", "_th", "n_dropped", words.alias("words")))
+    out = scratch.keep(packed.select("_id", "_th", "_n", words.alias("_words")))
     scratch.drop(lines_at)
     scratch.drop(bad_at)
     return out
@@ -77,12 +77,12 @@ def with_kept(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     base = docs.withColumns({"_lid": F.col("doc_id").cast("long"), "_lth": F.xxhash64(text)})
     joined = base.join(bitmaps.hint("merge"), F.col("_lid").eqNullSafe(F.col("_id")) & (F.col("_lth") == F.col("_th")), "left")
     lines = lines_of(text)
-    bit = "shiftright(coalesce(try_element_at(words, cast(i div {b} as int) + 1), 0L), cast(i % {b} as int)) & 1L".format(b=BITS)
-    kept = F.when(F.col("words").isNull(), F.coalesce(text, F.lit(""))).otherwise(
+    bit = "shiftright(coalesce(try_element_at(_words, cast(i div {b} as int) + 1), 0L), cast(i % {b} as int)) & 1L".format(b=BITS)
+    kept = F.when(F.col("_words").isNull(), F.coalesce(text, F.lit(""))).otherwise(
         F.expr(f"array_join(filter(split(coalesce(cast(text as string), ''), '\\n', -1), (l, i) -> ({bit}) = 0L), '\\n')")
     )
-    out = joined.withColumns({"_n_lines": F.size(lines).cast("long"), "_n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"), "_kept": kept})
-    return out.drop("_lid", "_lth", "_id", "_th", "n_dropped", "words")
+    out = joined.withColumns({"_n_lines": F.size(lines).cast("long"), "_n_dropped": F.coalesce("_n", F.lit(0)).cast("long"), "_kept": kept})
+    return out.drop("_lid", "_lth", "_id", "_th", "_n", "_words")
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 2, keep_first: bool = True) -> DataFrame:
