@@ -8,7 +8,9 @@ the target exceeds the source) is due when demand reaches c: the inverse of that
 quadratic. A range sort by that position gives the training order.
 
 Running sums do not need a source's rows together: (source, slot) cells are summed
-first, slots being equal ranges of a hash, and the offsets of cells join back.
+first, slots being equal ranges of a hash, as many as the rows need, and the offsets of
+cells join back. All this is done on narrow rows; the texts are joined to their positions
+and sorted.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import Scratch, word_count
 
 #: Weights by the rank of the source, repeating; share of all words to take; most passes over a source.
 WEIGHTS, SHARE, PASSES = (3.0, 1.0, 2.0), 1.5, 2
 #: How the rates change over time, by the rank of the source: early, level, late.
 SLOPES = (-0.5, 0.0, 0.5)
-#: Cells that a source's documents are dealt over.
-SLOTS = 4096
+#: Rows of all sources in one slot, about: what one task sums up at most.
+SLOT_ROWS = 50_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
@@ -56,33 +58,62 @@ def due(words: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, x).otherwise(2 * x / ((1 - slope) + root))
 
 
+#: What tells rows of the plan apart; none is null.
+_KEY = ("_id", "_no_id", "_th", "_source", "_no_source")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    doc = F.col("doc_id").cast("long")
+    key = {"_id": F.coalesce(doc, F.lit(0)), "_no_id": doc.isNull(), "_th": F.xxhash64(text), "_source": F.coalesce(source, F.lit("")), "_no_source": source.isNull()}
+    return docs.withColumns(key)
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: str = "mix") -> DataFrame:
+    """One row for all rows of docs that share _KEY (so alike), in no order: their _size, _start
+    (words of the source before the first of them), and _total, _target and _slope of the
+    source. Running sums are taken in slots of about SLOT_ROWS rows."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
+    narrow = _keyed(docs.select("doc_id", "text", "source")).select(*_KEY, word_count(F.col("text").cast("string")).alias("_size"), order.alias("_h"))
+    narrow = scratch.keep(narrow.groupBy(*_KEY).agg(F.first("_size").alias("_size"), F.first("_h").alias("_h"), F.count(F.lit(1)).alias("_n")))
+    slots = max(1, -(-narrow.count() // SLOT_ROWS))
+    rows = narrow.withColumn("_slot", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") * slots / (1 << 32)))  # rises with the hash
+    words = F.col("_size") * F.col("_n")
+    cells = rows.groupBy("_source", "_no_source", "_slot").agg(F.sum(words).alias("_cell"))
+    sizes = cells.groupBy("_source", "_no_source").agg(F.sum("_cell").alias("source_size"))
+    goal = targets(sizes.select(F.when(~F.col("_no_source"), F.col("_source")).alias("source"), "source_size"), weights, share, passes)
+    goal = goal.select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_no_source"), F.col("source_size").alias("_total"), F.col("target").alias("_target"), F.col("slope").alias("_slope"))
+    before = Window.partitionBy("_source", "_no_source").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_cell").over(before), F.lit(0))).drop("_cell")  # one row a slot
+    rows = rows.join(cells.join(goal, ["_source", "_no_source"]), ["_source", "_no_source", "_slot"])
+    within = Window.partitionBy("_source", "_no_source", "_slot").orderBy("_h", F.when(~F.col("_no_id"), F.col("_id")).asc_nulls_first(), "_th").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_start", F.col("_before") + F.coalesce(F.sum(words).over(within), F.lit(0)))
+    return rows.select(*_KEY, "_size", "_start", "_total", "_target", "_slope")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: str = "mix") -> DataFrame:
     """All rows of docs with size (words), source_size, target, taken (words the mix
     takes, repeats counted), repeats (passes that take words), position (0 to 1, when
     the first is due; null: never) and positions (when each of these passes is due), in
-    the order of the first passes.
-
-    docs needs doc_id, text and source. Null texts have 0 words; a null source is a source
-    of its own. The order within a source is that of md5(doc_id, seed), doc_id and the text's
-    hash: reruns agree, rows that repeat count as often as they occur, and which of them comes first makes
-    no difference. The last document a source's target reaches is taken in part."""
-    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
-    rows = docs.withColumns({"size": word_count(F.col("text").cast("string")), "_h": order, "_th": F.xxhash64(F.col("text").cast("string"))})
-    rows = rows.withColumn("_slot", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
-    cells = docs.select("source", word_count(F.col("text").cast("string")).alias("size"), F.conv(F.substring(order, 1, 3), 16, 10).cast("int").alias("_slot")).groupBy("source", "_slot").agg(F.sum("size").alias("cell"))
-    plan = targets(cells.groupBy("source").agg(F.sum("cell").alias("source_size")), weights, share, passes)
-    before = Window.partitionBy("source").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("cell").over(before), F.lit(0)))  # SLOTS rows a source at most
-    cells = cells.join(plan.withColumnRenamed("source", "_ps"), F.col("source").eqNullSafe(F.col("_ps"))).select(F.col("source").alias("_s"), F.col("_slot").alias("_sl"), "_before", "source_size", "target", "slope")
-    rows = rows.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slot") == F.col("_sl"))).drop("_s", "_sl")
-    within = Window.partitionBy("source", "_slot").orderBy("_h", "doc_id", "_th").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_start", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    taken = [F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), F.floor("target") - (F.col("_start") + F.col("source_size") * p))) for p in range(passes)]
-    rows = rows.withColumns({"taken": F.floor(sum(taken[1:], taken[0])).cast("long"), "repeats": sum((F.when(t > 0, 1).otherwise(0) for t in taken[1:]), F.when(taken[0] > 0, 1).otherwise(0))})
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, due(F.col("_start").cast("double"), F.col("target"), F.col("slope"))))
-    each = [F.when(t > 0, due((F.col("_start") + F.col("source_size") * p).cast("double"), F.col("target"), F.col("slope"))) for p, t in enumerate(taken)]
-    rows = rows.withColumn("positions", F.array_compact(F.array(*each)))
-    return rows.drop("_h", "_th", "_slot", "_before", "_start", "slope").orderBy("position", "doc_id")
+    the order of the first passes; rows never taken come last.
+
+    docs needs doc_id, text and source; columns of docs that are called like the added ones
+    are replaced. Null texts have 0 words; a null source is a source of its own. The order
+    within a source is that of md5(doc_id, seed), doc_id and the text's hash: reruns agree, and
+    rows that repeat count as often as they occur. The last document a source's target
+    reaches is taken in part. Very long texts are moved once for the join and once for the
+    order; an empty table gives an empty one."""
+    added = ("size", "source_size", "target", "taken", "repeats", "position", "positions")
+    rows = _keyed(docs.drop(*added)).join(plan(docs, weights, share, passes, seed).hint("merge"), list(_KEY))
+    # rows that repeat follow each other in their source
+    nth = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.lit(0))) - 1
+    rows = rows.withColumn("_start", F.col("_start") + F.col("_size") * nth)
+    taken = [F.greatest(F.lit(0.0), F.least(F.col("_size").cast("double"), F.floor("_target") - (F.col("_start") + F.col("_total") * p))) for p in range(passes)]
+    each = [F.when(t > 0, due((F.col("_start") + F.col("_total") * p).cast("double"), F.col("_target"), F.col("_slope"))) for p, t in enumerate(taken)]
+    rows = rows.withColumns({"size": F.col("_size"), "source_size": F.col("_total"), "target": F.col("_target"), "taken": F.floor(sum(taken[1:], taken[0])).cast("long"), "positions": F.array_compact(F.array(*each))})
+    rows = rows.withColumns({"repeats": F.size("positions"), "position": F.get("positions", F.lit(0))})
+    return rows.select(*[c for c in docs.columns if c not in added], *added).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 #: For DuckDB; the same arithmetic in the same order.

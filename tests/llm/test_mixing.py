@@ -85,3 +85,14 @@ def test_every_pass_has_a_position(spark):
         for x, n in due:  # the share of the target due at x: the rate 1 - slope + 2 * slope * x, integrated
             assert abs((1 - slope) * x + slope * x * x - upto / mine[0].target) < 1e-6
             upto += n
+
+
+def test_repeated_rows_clashing_columns_and_many_slots(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOT_ROWS", 7)
+    rows = [(i % 40, "w " * (i % 5), "en", [None, "a", "b"][i % 3], 1) for i in range(120)] + [(7, "w w w", "en", "a", 1)] * 5 + [(None, None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    check(rows, df)
+    clash = df
+    for c in ("target", "slope", "source_size", "size", "position", "_slot_", "weight", "cap", "level"):
+        clash = clash.withColumn(c, F.lit(1))
+    check(rows, clash)
