@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import decontam, langid, linededup, minhash, mixing
+from loam.llm import decontam, langid, linededup, mixing, neardup
 from loam.llm.common import DOCUMENT_COLUMNS, Scratch, table
 
 #: A document whose best language holds less than this share of its letters is of no language.
@@ -37,8 +37,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (0.8 of their 5-word shingles) the document with the smallest id stays."""
-    return minhash.near_dedup(docs.select(*DOCUMENT_COLUMNS))
+    """Of each group of near duplicates (operator 4 over 5-word shingles, links verified at a similarity
+    of 0.8) the document with the smallest id stays; null and empty texts are one group."""
+    return neardup.near_dedup(docs.select(*DOCUMENT_COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
