@@ -13,8 +13,11 @@ the rest cannot reach the threshold are its essential ones; the segment's essent
 impacts, then all its impacts, must reach 1. For each passage of the segments left:
 block-max WAND over the postings, by item.
 
+Document frequencies and the mean length are those of the whole benchmark, also where it
+is looked up in several parts, so that scores do not depend on the parts.
+
 Hits are verified by the overlap of the question (5-word shingles) and of the answer
-(words), both at least 0.8 in the passage. Pieces only retrieve: each shingle of a long
+(words), both at least 0.8 in the passage, by 64-bit hashes. Pieces only retrieve: each shingle of a long
 question is in one piece, so that a text with 0.8 of them has 0.8 of some piece's. A hit is
 verified by the whole item, in the passage widened by what the item has before and after
 the piece.
@@ -25,7 +28,8 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 from itertools import groupby
 from operator import itemgetter
 
@@ -34,13 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, column
+from .common import Powers, Words, chunks, column, rolling
 
 PIECE, PASSAGE, STRIDE, SEGMENT = 64, 128, 64, 256
 SHINGLE, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
-#: Postings of one block of a list; items of one index. More items are looked up in several rounds.
-BLOCK, SHARD_ITEMS, SHARD_BYTES = 16, 20_000, 32 << 20
+#: Postings of one block of a list.
+BLOCK = 16
+#: Text of one index. An index takes about 20 times its text; more items are looked up in several rounds.
+SHARD_BYTES = 4 << 20
+_POWERS = Powers(0x9FB21C651E98DF25)
 
 
 def question_and_answer(n_tokens: int, question_tokens: int | None) -> int:
@@ -50,17 +57,14 @@ def question_and_answer(n_tokens: int, question_tokens: int | None) -> int:
     return n_tokens if n_tokens < 3 else -(-2 * n_tokens // 3)
 
 
-def shingles(tokens: list[int]) -> set[tuple[int, ...]]:
-    return {tuple(tokens[i : i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))} if tokens else set()
-
-
 @dataclass
 class Piece:
     item: int
-    tokens: list[int]
-    cut: int
-    question: set = field(default_factory=set)
-    answer: set = field(default_factory=set)
+    tokens: np.ndarray
+    #: Length of its shingles, their hashes (each once, sorted), and the words of the answer (likewise).
+    k: int
+    question: np.ndarray
+    answer: np.ndarray
     #: Of a piece of a long item: the item, and how many of its tokens lie before and after the piece.
     whole: Piece | None = None
     before: int = 0
@@ -68,103 +72,132 @@ class Piece:
     #: Words that may be missing for each missing shingle.
     words_each: int = 1
 
-    def __post_init__(self) -> None:
-        self.question, self.answer = shingles(self.tokens[: self.cut]), set(self.tokens[self.cut :])
 
+def piece_of(item: int, tokens: np.ndarray, cut: int) -> Piece:
+    k = min(SHINGLE, cut)
+    return Piece(item, tokens, k, np.unique(rolling(tokens[:cut], k, _POWERS)) if k else np.empty(0, np.uint64), np.unique(tokens[cut:]))
 
-def split(whole: Piece) -> Iterator[Piece]:
+
+def split(whole: Piece, cut: int) -> Iterator[Piece]:
     """Pieces of the question; a shingle that repeats counts for the first piece that has it."""
-    q, seen = whole.tokens[: whole.cut], set()
-    n = max(1, len(q) - SHINGLE + 1)
-    for part in np.array_split(np.arange(n), -(-n // (PIECE - SHINGLE + 1))):
-        a, b = int(part[0]), min(len(q), int(part[-1]) + SHINGLE)
-        mine = shingles(q[a:b]) - seen
-        if not mine:
+    q, none = whole.tokens[:cut], np.empty(0, np.uint64)
+    h = rolling(q, SHINGLE, _POWERS) if len(q) >= SHINGLE else rolling(q, len(q), _POWERS)
+    k = min(SHINGLE, len(q))
+    first = np.zeros(len(h), bool)
+    first[np.unique(h, return_index=True)[1]] = True
+    for part in np.array_split(np.arange(len(h)), -(-len(h) // (PIECE - SHINGLE + 1))):
+        a, b = int(part[0]), int(part[-1]) + k
+        new = part[first[part]]
+        if not len(new):
             continue
-        seen |= mine
-        words = {t for s in mine for t in s}
-        piece = Piece(whole.item, [t for t in q[a:b] if t in words], b - a, whole=whole, before=a, after=len(whole.tokens) - b)
-        piece.question, piece.words_each = mine, 1 if len(mine) == len(part) else SHINGLE
-        yield piece
+        used = np.zeros(b - a, bool)
+        for i in range(k):
+            used[new - a + i] = True
+        words = np.isin(q[a:b], q[a:b][used])
+        yield Piece(whole.item, q[a:b][words], k, np.unique(h[new]), none, whole, a, len(whole.tokens) - b, 1 if len(new) == len(part) else SHINGLE)
 
 
 @dataclass
 class Index:
-    """Lists by term: the pieces in order, their impacts over the threshold, maxima by block."""
+    """Lists by term, one after the other: the pieces in order and their impacts over the threshold."""
 
     pieces: list[Piece]
     vocabulary: np.ndarray
-    lists: list[tuple[list[int], list[float], list[float], float]]
-    self_score: np.ndarray
+    starts: np.ndarray
+    docs: np.ndarray
+    impacts: np.ndarray
     threshold: np.ndarray
     essential: tuple[np.ndarray, np.ndarray, np.ndarray]
     forward: tuple[np.ndarray, np.ndarray, np.ndarray]
     rest: np.ndarray
 
+    def list_of(self, t: int) -> tuple[list[int], list[float], list[float], float]:
+        """Of a term: pieces, impacts, maxima by block, maximum."""
+        if not hasattr(self, "_list_of"):
+            self._list_of = lru_cache(1 << 14)(self._list)
+        return self._list_of(t)
+
+    def _list(self, t: int) -> tuple[list[int], list[float], list[float], float]:
+        x = self.impacts[self.starts[t] : self.starts[t + 1]]
+        return self.docs[self.starts[t] : self.starts[t + 1]].tolist(), x.tolist(), np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)).tolist(), float(x.max())
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_list_of"}
+
 
 def pieces_of(items: list[tuple[int, str]]) -> list[Piece]:
     words, out = Words("alnum"), []
     for item, text in items:
         raw = np.frombuffer(text.encode(), np.uint8)
-        h, starts, _, _ = words.split(raw, np.array([len(raw)]))
-        tokens, mark = h.tolist(), text.encode().rfind(b"?")
-        if not tokens:
+        tokens, starts, _, _ = words.split(raw, np.array([len(raw)]))
+        mark = text.encode().rfind(b"?")
+        if not len(tokens):
             continue
-        asked = int(np.searchsorted(starts, mark)) if mark >= 0 else None
-        whole = Piece(item, tokens, question_and_answer(len(tokens), asked))
-        out.extend(split(whole) if len(tokens) > PIECE else [whole])
+        cut = question_and_answer(len(tokens), int(np.searchsorted(starts, mark)) if mark >= 0 else None)
+        whole = piece_of(item, tokens, cut)
+        out.extend(split(whole, cut) if len(tokens) > PIECE else [whole])
     return out
 
 
-def build(pieces: list[Piece]) -> Index:
-    terms = sorted({t for p in pieces for t in p.tokens})
-    number = {t: i for i, t in enumerate(terms)}
-    df = np.zeros(len(terms))
-    for p in pieces:
-        for t in set(p.tokens):
-            df[number[t]] += 1
-    idf = np.log(1 + (len(pieces) - df + 0.5) / (df + 0.5))
-    mean = sum(len(p.tokens) for p in pieces) / max(1, len(pieces))
-    postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-    forward: list[list[tuple[int, float]]] = []
-    own, least, rest, e_term, e_piece, e_impact = [], [], [], [], [], []
+@dataclass
+class Statistics:
+    """Of all pieces of a benchmark: the words (sorted), in how many pieces each is, pieces, tokens."""
+
+    words: np.ndarray
+    df: np.ndarray
+    pieces: int
+    tokens: int
+
+
+def statistics(pieces: list[Piece]) -> Statistics:
+    each = [np.unique(p.tokens) for p in pieces]
+    words, df = np.unique(np.concatenate(each), return_counts=True) if each else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    return Statistics(words, df, len(pieces), sum(len(p.tokens) for p in pieces))
+
+
+def added(a: Statistics, b: Statistics) -> Statistics:
+    words, back = np.unique(np.concatenate([a.words, b.words]), return_inverse=True)
+    return Statistics(words, np.bincount(back, np.concatenate([a.df, b.df])).astype(np.int64), a.pieces + b.pieces, a.tokens + b.tokens)
+
+
+def build(pieces: list[Piece], whole: Statistics | None = None) -> Index:
+    """whole: statistics of the benchmark, if the pieces are a part of it."""
+    stats = whole or statistics(pieces)
+    terms = np.unique(np.concatenate([p.tokens for p in pieces]))
+    df = stats.df[np.searchsorted(stats.words, terms)]
+    idf = np.log(1 + (stats.pieces - df + 0.5) / (df + 0.5))
+    mean = stats.tokens / max(1, stats.pieces)
+    p_term, p_piece, p_impact, p_essential = [], [], [], []
+    least, rest = np.zeros(len(pieces)), np.zeros(len(pieces))
     for d, p in enumerate(pieces):
-        norm = K1 * (1 - B + B * len(p.tokens) / mean)
-        counts: dict[int, int] = {}
-        for t in p.tokens:
-            counts[number[t]] = counts.get(number[t], 0) + 1
-        impact = {t: float(idf[t]) * n * (K1 + 1) / (n + norm) for t, n in counts.items()}
-        total = sum(impact.values())
+        mine, n = np.unique(p.tokens, return_counts=True)
+        t = np.searchsorted(terms, mine)
+        impact = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(p.tokens) / mean))
         # a passage that passes misses at most this many of the piece's words: each missing word costs a shingle or an answer word
         missing = p.words_each * math.floor((1 - OVERLAP) * len(p.question) + 1e-9) + math.floor((1 - OVERLAP) * len(p.answer) + 1e-9)
-        bound = max((total - sum(sorted(impact.values(), reverse=True)[:missing])) * (1 - 1e-9), 1e-9)
-        own.append(total)
-        least.append(bound)
-        for t, x in impact.items():
-            postings[t].append((d, x / bound))
-        forward.append([(t, x / bound) for t, x in impact.items()])
-        left = total / bound
-        for t in sorted(impact, key=lambda t: (df[t], -impact[t], t)):
-            if left < 1 - 1e-6:
-                break
-            e_term.append(t)
-            e_piece.append(d)
-            e_impact.append(impact[t] / bound)
-            left -= impact[t] / bound
-        rest.append(left)
-    lists = []
-    for ps in postings:
-        docs, xs = [d for d, _ in ps], [x for _, x in ps]
-        lists.append((docs, xs, [max(xs[i : i + BLOCK]) for i in range(0, len(xs), BLOCK)], max(xs)))
-    order = np.lexsort((np.array(e_piece), np.array(e_term)))
-    essential = tuple(np.array(x)[order] for x in (e_term, e_piece, e_impact))
-    whole = (np.concatenate([[0], np.cumsum([len(f) for f in forward])]), np.array([t for f in forward for t, _ in f]), np.array([x for f in forward for _, x in f]))
-    return Index(pieces, np.array(terms, np.uint64), lists, np.array(own), np.array(least), essential, whole, np.array(rest))
+        bound = max((impact.sum() - np.sort(impact)[::-1][:missing].sum()) * (1 - 1e-9), 1e-9)
+        x = impact / bound
+        order = np.lexsort((t, -impact, df[t]))  # the rarest first
+        left = x.sum() - np.concatenate([[0], np.cumsum(x[order])])
+        k = int(np.argmax(left < 1 - 1e-6))  # so many, without which the rest cannot reach the threshold
+        essential = np.zeros(len(t), bool)
+        essential[order[:k]] = True
+        least[d], rest[d] = bound, left[k]
+        p_term.append(t)
+        p_piece.append(np.full(len(t), d))
+        p_impact.append(x)
+        p_essential.append(essential)
+    forward = (np.concatenate([[0], np.cumsum([len(t) for t in p_term])]), np.concatenate(p_term), np.concatenate(p_impact))
+    term, piece, impact, essential = (np.concatenate(x) for x in (p_term, p_piece, p_impact, p_essential))
+    order = np.lexsort((piece, term))
+    term, piece, impact, essential = term[order], piece[order], impact[order], essential[order]
+    starts = np.searchsorted(term, np.arange(len(terms) + 1))
+    return Index(pieces, terms, starts, piece.astype(np.int32), impact, least, (term[essential], piece[essential], impact[essential]), forward, rest)
 
 
 def wand(index: Index, terms: list[int]) -> list[int]:
     """All pieces whose impacts over these terms reach 1, by block-max WAND."""
-    cursors = [[0, index.lists[t]] for t in terms]
+    cursors = [[0, index.list_of(t)] for t in terms]
     cursors = [c for c in cursors if c[1][0]]
     found = []
     while cursors:
@@ -290,48 +323,45 @@ def inspect(index: Index, tokens: np.ndarray, ids: np.ndarray, segments: list[in
         hits = wand(index, terms) if terms else []
         if not hits:
             continue
-        mine = tokens[a:b].tolist()
-        have, words = shingles_of_any(mine), set(mine)
+        mine = tokens[a:b]
         for d in hits:
             p = index.pieces[d]
-            if p.whole:
-                wide = tokens[max(0, a - p.before) : b + p.after].tolist()
-                question, answer = overlaps(p.whole, wide, shingles_of_any(wide), set(wide))
-            else:
-                question, answer = overlaps(p, mine, have, words)
+            question, answer = overlaps(p.whole or p, tokens[max(0, a - p.before) : b + p.after] if p.whole else mine)
             if question >= OVERLAP and answer >= OVERLAP:
                 score = sum(x for t in terms for x in impact_of(index, t, d)) * float(index.threshold[d])
                 best[p.item] = max(best.get(p.item, (0.0, 0.0, 0.0)), (score, question, answer))
     return [(item, *v) for item, v in sorted(best.items())]
 
 
-def overlaps(p: Piece, mine: list[int], have: set, words: set) -> tuple[float, float]:
-    """Of question and answer, in tokens with these shingles and words."""
-    question = sum(len(s) == SHINGLE and s in have or len(s) < SHINGLE and contains(mine, s) for s in p.question) / len(p.question)
-    return question, len(p.answer & words) / len(p.answer) if p.answer else 1.0
-
-
-def shingles_of_any(tokens: list[int]) -> set[tuple[int, ...]]:
-    return {tuple(tokens[i : i + SHINGLE]) for i in range(len(tokens) - SHINGLE + 1)}
-
-
-def contains(tokens: list[int], part: tuple[int, ...]) -> bool:
-    return any(tuple(tokens[i : i + len(part)]) == part for i in range(len(tokens) - len(part) + 1))
+def overlaps(p: Piece, mine: np.ndarray) -> tuple[float, float]:
+    """Of question and answer, in these tokens."""
+    question = float(np.isin(p.question, rolling(mine, p.k, _POWERS)).mean()) if len(p.question) else 1.0
+    return question, float(np.isin(p.answer, mine).mean()) if len(p.answer) else 1.0
 
 
 def impact_of(index: Index, term: int, d: int) -> list[float]:
-    docs, xs, _, _ = index.lists[term]
+    docs, xs, _, _ = index.list_of(term)
     i = bisect_left(docs, d)
     return [xs[i]] if i < len(docs) and docs[i] == d else []
 
 
-def _shards(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, in parts of bounded number and size. Null ids and texts are left out."""
+def _shards(benchmark: DataFrame) -> Iterator[tuple[list[Piece], Statistics | None]]:
+    """The pieces, in parts of bounded text, and the statistics of all. Null ids and texts are left out."""
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    n, size = b.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = max(1, math.ceil(n / (SHARD_ITEMS * 0.8)), math.ceil(size / (SHARD_BYTES * 0.8))) if n > SHARD_ITEMS or size > SHARD_BYTES else 1
+    size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, math.ceil(size / (SHARD_BYTES * 0.8))) if size > SHARD_BYTES else 1
+
+    def read(part: int) -> list[Piece]:
+        return pieces_of(sorted((r.item_id, r.text) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()))
+
+    if parts == 1:
+        yield read(0), None
+        return
+    whole = statistics([])
+    for part in range(parts):
+        whole = added(whole, statistics(read(part)))
     for part in range(parts):
-        yield sorted((r.item_id, r.text) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect())
+        yield read(part), whole
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -340,7 +370,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs needs doc_id and text, benchmark item_id and text. Tokens are runs of letters and
     digits, A-Z lowered. Null and empty texts hold nothing; items without tokens are in no
-    text. Rows that repeat give rows that repeat."""
+    text. Rows that repeat give rows that repeat; very long texts are taken whole; an empty
+    table of either kind gives an empty one; other columns are left out, whatever their names."""
     return _found(docs, benchmark).drop("th")
 
 
@@ -350,9 +381,8 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    for items in _shards(benchmark):
-        pieces = pieces_of(items)
-        shipped = docs.sparkSession.sparkContext.broadcast(build(pieces) if pieces else None)
+    for pieces, whole in _shards(benchmark):
+        shipped = docs.sparkSession.sparkContext.broadcast(build(pieces, whole) if pieces else None)  # of SHARD_BYTES of text
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             index, words = shipped.value, Words("alnum")

@@ -249,15 +249,3 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     texts of white space, have fingerprint 0 and are linked like any others. Rows that
     repeat stay. component_id is null only where no document of the component has an id."""
     return _labelled(docs).select("doc_id", "fp", "component_id")
-
-
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs, but of each group of near duplicates only that with the smallest
-    doc_id (null last; then by the text's hash; of repeated rows one stays).
-
-    Extra columns of docs stay; doc_id and text are needed."""
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")
-    keep = _labelled(docs).groupBy("root").agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
-    th = F.xxhash64(docs["text"].cast("string"))
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (th == keep["_th"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])

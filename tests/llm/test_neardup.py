@@ -4,7 +4,7 @@ from itertools import combinations
 import corpus_pipeline as cp
 import numpy as np
 
-from loam.llm import minhash as m
+from loam.llm import neardup as m
 
 from .conftest import edge_rows, prose
 
@@ -42,6 +42,39 @@ def altered(rng, text, n):
     return " ".join(w)
 
 
+def test_blocks_give_the_same(spark, monkeypatch):
+    rng = random.Random(12)
+    base = prose(rng, 120)
+    rows = list(enumerate([altered(rng, base, rng.randrange(1, 14)) for _ in range(150)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_kept(rows)
+    assert 3 < len(want) < 140
+    for texts, size in ((256, 8 << 20), (7, 8 << 20), (256, 5000)):
+        monkeypatch.setattr(m, "BLOCK_TEXTS", texts)
+        monkeypatch.setattr(m, "BLOCK_BYTES", size)
+        assert {r.doc_id for r in m.near_dedup(df).collect()} == want
+
+
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 500, rng.integers(0, 300))).astype(np.uint64) for _ in range(20)]
+    for columns in (1 << 15, 64):
+        monkeypatch.setattr(m, "COLUMNS", columns)
+        got = m.shared_counts(sets)
+        assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
+def test_fingerprints_of_shingles():
+    rng = np.random.default_rng(4)
+    hashes, sizes = rng.integers(0, 1 << 63, 900, dtype=np.uint64), [0, 1, 2, 300, 0, 597]
+    got = m.fingerprints_of(hashes, np.cumsum(sizes))
+    at = 0
+    for n, fp in zip(sizes, got.tolist(), strict=True):
+        mine = hashes[at : at + n].tolist()
+        assert fp == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in mine) * 2 > n)
+        at += n
+
+
 def test_planted_near_copies(spark):
     rng = random.Random(11)
     rows = []

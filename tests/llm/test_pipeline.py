@@ -8,7 +8,7 @@ from loam.llm import decontam, langid, linededup
 from .conftest import edge_rows, prose
 from .test_decontam import brute as leaks
 from .test_linededup import brute as lines
-from .test_simhash import brute_components, brute_fingerprint
+from .test_neardup import brute_kept
 
 
 def folder(spark, tmp_path, rows, items):
@@ -41,9 +41,8 @@ def test_stages_against_brute_force(spark, tmp_path):
         if not dropped or kept.strip(" \t\n\x0b\x0c\r"):
             after[i] = kept if dropped else now[i]
     # near duplicates
-    prints = [(i, brute_fingerprint(t)) for i, t in after.items()]
-    comp = brute_components(prints)
-    after = {i: after[i] for i, f in prints if comp[f] == i}
+    stay = brute_kept(list(after.items()))
+    after = {i: t for i, t in after.items() if i in stay}
     # benchmark
     bad = {i for i, _ in leaks(list(after.items()), items)}
     after = {i: t for i, t in after.items() if i not in bad}
