@@ -123,6 +123,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((14, 0), bool), 0)
     buckets, scale = buckets_for(len(counted)), 1 << 30
     below = docs.sparkSession.createDataFrame([(r.lang, math.ceil(scale * min(1.0, sample_docs / r.n))) for r in counted], "lang string, below long")
+    # one row a language, as few as the model has columns: broadcast, so that no text moves
     rank = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(scale))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                     both = np.concatenate([at, -1 - sat])
                     yield pa.RecordBatch.from_arrays([pa.array([str(names[k])] * len(both)), pa.array(both), pa.array(np.concatenate([n[at], s[sat]]))], ["lang", "bucket", "n"])
 
-    sample = usable.join(below, "lang").where(rank < F.col("below")).select("text", "lang")
+    sample = usable.join(F.broadcast(below), "lang").where(rank < F.col("below")).select("text", "lang")
     counts = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts["lang"].to_pylist()))
     number = {x: k for k, x in enumerate(languages)}
