@@ -25,7 +25,7 @@ WEIGHTS, SHARE, PASSES = (3.0, 1.0, 2.0), 1.5, 2
 #: How the rates change over time, by the rank of the source: early, level, late.
 SLOPES = (-0.5, 0.0, 0.5)
 #: Rows of all sources in one slot, about: what one task sums up at most.
-SLOT_ROWS = 50_000
+SLOT_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
