@@ -216,7 +216,7 @@ def _roots(docs: DataFrame, scratch: Scratch, prints: DataFrame) -> DataFrame:
     placed = members.join(roots, "th", "left").select("key", "th", F.coalesce("root", "th").alias("root"))
     several = placed.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l < h").select("key")
     placed = scratch.keep(placed.join(several, "key").join(sets.select("th", "n"), "th"))
-    blocks = placed.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("s"))
+    blocks = scratch.keep(placed.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("s")))  # a table, so that the join can split a large bucket
     dealt = placed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("th"), F.col("s")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "root").join(sets.select("th", "set"), "th").join(one.select("th", "keys"), "th")
     more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "th").select("key", "i", "j", "own", "th", "root", "set", "keys").mapInArrow(_blocks, "a long, b long")
