@@ -171,7 +171,7 @@ OTHER = [
     "The rights of workers were reserved for a later debate.", "A boost of the artistic program under the new director was reported.", "The bank must license its agents.",
 ]
 #: Words too usual to point to a notice.
-STOP = frozenset("a an and any are as at be been but by can do for from has have he her his if in into is it its may more most must no not of on one or other our out part she so such that the their them then there these they this to two was we were what when which who will with without you your under over all each either being even just along alone about after before".split())
+STOP = frozenset("a an and any are as at be been but by can do for from has have he her his if in into is it its may more most must no not of on one or other our out part she so such that the their them then there these they this to two was we were what when which who will with without you your under over all each either being even just along alone about after before via doe test".split())
 
 
 def templates() -> dict[str, list[str]]:
@@ -234,7 +234,7 @@ def train(others: list[str]) -> Model:
     seen = [set(_tokens(t)) for _, t in notices + unknown]
     often = lambda sets, w: sum(w in s for s in sets) / max(1, len(sets))
     elsewhere = [set(w) for w in (_tokens(t) for t in others)]
-    vocabulary = {w for w in set().union(*seen) - STOP if len(w) > 1 and not w.replace(".", "").isdigit() and often(elsewhere, w) <= 0.1 * max(often(seen, w), 0.02)}
+    vocabulary = {w for w in set().union(*seen) - STOP if (len(w) > 2 or w == "cc") and not w.replace(".", "").isdigit() and often(elsewhere, w) <= 0.1 * max(often(seen, w), 0.02)}
     holds = lambda g: any(w in vocabulary for w in g.split(" "))
     rows: list[tuple[int, list[str], bool]] = []
 
@@ -337,7 +337,8 @@ def license_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame
     # dealt by line and in a stated number of partitions, so that few lines with many grams are not one task's
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = lines.repartition(n, "_id", "_th", "line").dropDuplicates(["_id", "_th", "line"]).select("_id", "_th", "line", grams_of(F.col("t")).alias("grams"))
-    hit = g.select("_id", "_th", "line", F.size(F.filter("grams", lambda x: F.size(F.split(x, " ")) == 2)).alias("twos"), F.explode("grams").alias("gram")).join(table, "gram")
+    g = g.withColumn("twos", F.size(F.filter("grams", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) == 1)))  # before the explode, which would have it done for each gram
+    hit = g.select("_id", "_th", "line", "twos", F.explode("grams").alias("gram")).join(table, "gram")
     each = hit.select("_id", "_th", "line", "twos", "counts", F.explode("ws").alias("x"))
     by_class = each.groupBy("_id", "_th", "line", "x.k").agg(F.first("twos").alias("twos"), F.sum("x.w").alias("s"), F.count_if("counts").alias("n"), F.count_if("x.template").alias("o"))
     summed = by_class.groupBy("_id", "_th", "line").agg(F.first("twos").alias("twos"), F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("s", "o")))).alias("m"))
