@@ -135,12 +135,23 @@ def same_stem(a: Column, b: Column, n: int = 5) -> Column:
     return (g(a) == g(b)) & (F.left(e(a), F.lit(n)) == F.left(e(b), F.lit(n)))
 
 
-#: Endings of Latin epithets that agree in gender, longest first.
-GENDER = ("ensis", "ense", "atus", "ata", "atum", "osus", "osa", "osum", "icus", "ica", "icum", "us", "a", "um", "is", "e", "er", "ra", "rum")
+#: Endings of Latin epithets that stand for each other by gender, and what a stem has in their place.
+GENDER = ((("rum", "ra", "er"), "-er"), (("us", "um", "a"), "-us"), (("is", "e"), "-is"))
 
 
 def gender_stem(epithet: Column) -> Column:
-    return F.regexp_replace(epithet, f"({'|'.join(GENDER)})$", "")
+    """The same for forms that differ in gender alone: -us, -a, -um; -is, -e; -er, -ra, -rum. Endings
+    do not fall off, so that -ica and -ensis stay apart."""
+    out = epithet
+    for endings, mark in reversed(GENDER):
+        out = F.when(epithet.rlike(f"({'|'.join(endings)})$"), F.regexp_replace(epithet, f"({'|'.join(endings)})$", mark)).otherwise(out)
+    return out
+
+
+def epithet_key(epithet: Column) -> Column:
+    """Also the same for honours spelt with one i or two: -i, -ii; -ae, -iae."""
+    one = F.regexp_replace(F.lower(epithet), "(?<=[a-z])i(i|ae)$", "$1")
+    return gender_stem(one)
 
 
 _HEIGHT = r"^([0-9]+(?:[.,][0-9]+)?)\s*(m|cm|mm)?(?:\s*(?:–|—|-|to)\s*([0-9]+(?:[.,][0-9]+)?)\s*(m|cm|mm)?)?\s*(?:tall|high)?$"
@@ -252,25 +263,28 @@ def upload_parts(url: Column) -> Column:
     return F.struct(*[F.nullif(F.regexp_extract(path, p, i), F.lit("")).alias(n) for i, n in ((1, "year"), (2, "month"), (3, "stem"), (4, "size"), (5, "ext"))])
 
 
-#: Words that stay lower case inside a title.
-_SMALL = {"of", "the", "and", "on", "in", "at", "to", "by", "de", "du", "la", "le", "von", "van"}
+#: Words that stay lower case inside a title, and words that stay in capitals.
+_SMALL = ("of", "the", "and", "on", "at", "by", "in", "de", "du", "la", "le")
+_ACRONYMS = (
+    "ixl", "rsl", "cwa", "tas", "anz", "abc", "dcc", "hec", "tafe", "csiro", "ymca", "ses", "cbd", "cfa", "sda", "raaf", "rspca", "nab",
+    "dpipwe", "nre", "pws", "utas", "tmag", "sbs", "hcc", "lcc", "gcc", "ccc",
+)
 
 
-def title_word(word: str, first: bool) -> str:
-    if not first and word.lower() in _SMALL:
-        return word.lower()
-    if re.fullmatch(r"[A-Z]{2,3}", word) and not re.search("[AEIOUY]", word):
-        return word
-    parts = [p[:1].upper() + p[1:].lower() for p in re.split(r"(-)", word)]
-    w = "".join(parts)
-    w = re.sub(r"^(O|D)['’]([a-z])", lambda m: f"{m[1]}'{m[2].upper()}", w)
-    return re.sub(r"^(Mc)([a-z])", lambda m: m[1] + m[2].upper(), w)
+def smart_title(name) -> Column:
+    """Title case that knows O'Connor, McDonald, small words and acronyms; a letter after any
+    separator is a capital one."""
+    capital = lambda w, n: F.concat(F.substring(w, 1, n - 1), F.upper(F.substring(w, n, 1)), F.substring(w, n + 1, 1 << 30))
 
+    def written(parts: Column, w: Column, i: Column) -> Column:
+        inside = (i > 0) & (F.get(parts, F.greatest(i - 1, F.lit(0))) == " ")
+        usual = F.when(w.rlike("^mc.."), F.concat(F.lit("Mc"), F.substring(capital(w, 3), 3, 1 << 30))).when(w.rlike("^.'"), capital(capital(w, 1), 3)).otherwise(capital(w, 1))
+        return F.when(w.isin(*_ACRONYMS), F.upper(w)).when(inside & w.isin(*_SMALL), w).otherwise(usual)
 
-@F.pandas_udf(T.StringType())
-def smart_title(s: pd.Series) -> pd.Series:
-    """Title case that knows O'Connor, McDonald, small words and acronyms."""
-    return s.map(lambda t: None if t is None else " ".join(title_word(w, i == 0) for i, w in enumerate(t.split())))
+    c = F.col(name) if isinstance(name, str) else name
+    parts = F.regexp_extract_all(F.lower(F.trim(c)), F.lit("[0-9a-z']+|[^0-9a-z']+"), F.lit(0))
+    joined = F.transform(F.array(parts), lambda p: F.array_join(F.transform(p, lambda w, i: written(p, w, i)), ""))
+    return F.element_at(joined, 1)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -305,27 +319,47 @@ def first_sentences(s: pd.Series) -> pd.Series:
 
 
 _BINOMIAL = re.compile(r"\b([A-Z][a-z]+|[A-Z]\.)\s+([a-z][a-z-]{2,})\b")
-_NOT_EPITHET = {"and", "the", "are", "with", "from", "are", "may", "can", "has", "was", "were", "which", "that", "species"}
+#: What denies a mention before it or after it, how far before it, what ends a denial's
+#: scope, and what epithets and genera look like.
+_DENIES = re.compile(r"\b(lacks|lacking|absence of|absent|instead of|rather than|rarely if ever|unlike)\b", re.I)
+_DENIES_AFTER = re.compile(r"[\s,]*(which|that)\s+(rarely if ever|never|does not|is absent)\b", re.I)
+_REACH = 60
+_SCOPE_ENDS = (
+    re.compile(r"(?<![A-Z])[.!?]\s+(?=[A-Z])"),
+    re.compile(r",\s+(is|are|was|were|with|but|which|while|whereas)\b|\bas (is|are)\b", re.I),
+)
+_EPITHET = re.compile(r"(a|us|um|is|ii|i|ae|ensis|oides|ans|ens|ax|ix|ex|or|ata|ica|ina|ella|ula)$")
+_GENUS = re.compile(r"(a|us|um|is|ia|on|ax|ix|ea|ra|ys|as|os|e)$")
+_NOT_EPITHET = frozenset(
+    "area areas data via plus thus minus versus genus status basis analysis taxa flora fauna biota media criteria formula extra ultra era idea ideas agenda vista mesa sera this his is was has its also into onto "
+    "upon within elsewhere tasmania australia peninsula i ii and or a".split()
+)
+
+
+def denied(text: str, begin: int, end: int) -> bool:
+    """Whether a mention is one of what is missing: a denial within reach before it, in the same clause, or right after it."""
+    scope = text[max(0, begin - _REACH) : begin]
+    opens = max((m.end() for p in _SCOPE_ENDS for m in p.finditer(scope)), default=0)
+    return bool(_DENIES.search(scope, opens) or _DENIES_AFTER.match(text, end))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def binomials(s: pd.Series) -> pd.Series:
     """Genus-species names of a text in order; 'E. obliqua' takes the last genus with that
-    letter; names in a sentence after 'not' or 'absent' are left out."""
+    letter; names that the text says are missing are left out."""
     def one(t: str | None) -> list[str]:
         out, genera = [], {}
-        for sentence in re.split(r"(?<=[.;!?])\s+(?=[A-Z][a-z])", t or ""):
-            negated = re.search(r"\b(not|absent|without|lacks)\b", sentence, re.I)
-            for m in _BINOMIAL.finditer(sentence):
-                genus, epithet = m[1], m[2]
-                if epithet in _NOT_EPITHET:
-                    continue
-                if genus.endswith("."):
-                    genus = genera.get(genus[0])
-                    if genus is None:
-                        continue
+        for m in _BINOMIAL.finditer(t or ""):
+            genus, epithet = m[1], m[2]
+            if epithet in _NOT_EPITHET or not _EPITHET.search(epithet):
+                continue
+            if genus.endswith("."):
+                genus = genera.get(genus[0])
+            elif not _GENUS.search(genus):
+                continue
+            if genus is not None:
                 genera[genus[0]] = genus
-                if not (negated and m.start() > negated.start()):
+                if not denied(t, m.start(), m.end()):
                     out.append(f"{genus} {epithet}")
         return out
 

@@ -5,35 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lineage
 
-def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node). edges: a, b.
 
     Each round takes the least label around every node, then the label of that label, so
-    that long paths shorten by doubling. Lineage is cut by checkpoint() each round."""
-    sc = edges.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(_checkpoint_dir(edges))
+    that long paths shorten by doubling, until none changes. Lineage is cut by checkpoint()
+    each round."""
+    lineage.ready(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).withColumnRenamed("a", "node").checkpoint()
-    for _ in range(limit):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         least = labels.join(near, labels["node"] == near["a"]).select("node", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         jump = labels.select(F.col("node").alias("l"), F.col("l").alias("j"))
         now = least.join(jump, "l").select("node", F.least("l", "j").alias("l"), "old").checkpoint()
         labels = now.select("node", "l")
         if now.where("l <> old").isEmpty():
-            break
-    return labels.select("node", F.col("l").alias("component"))
-
-
-def _checkpoint_dir(df: DataFrame) -> str:
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="loam-")
+            return labels.select("node", F.col("l").alias("component"))
 
 
 def component_stats(nodes: DataFrame, area: str, x: str, y: str) -> DataFrame:

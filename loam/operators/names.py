@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.functions.text import gender_stem
+from loam.functions.text import epithet_key, gender_stem
 
 
 def spelling_keys(epithet: Column) -> Column:
@@ -15,7 +15,7 @@ def spelling_keys(epithet: Column) -> Column:
     e = F.lower(epithet)
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(e, "ae|oe", "e"), "y", "i"), "ph", "f")
     single = F.regexp_replace(F.regexp_replace(plain, "-", ""), r"(.)\1", "$1")
-    return F.array_distinct(F.array(e, plain, single, gender_stem(single)))
+    return F.array_distinct(F.array(e, epithet_key(e), plain, single, gender_stem(single)))
 
 
 def candidates(names: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lineage
+
 
 def incremental(done: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """done and those rows of seen whose key is new."""
@@ -124,16 +126,18 @@ def first_seen_units(df: DataFrame, key: str, order: str, link: str) -> DataFram
     return df.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("f"), F.min(has)[link].alias(link)).select(key, *[F.col(f"f.{c}").alias(c) for c in others], link)
 
 
-def follow_swaps(swaps: DataFrame, limit: int = 20) -> DataFrame:
-    """old to the last name that its chain of swaps leads to, by pointer jumping; cycles stop at `limit`."""
-    now = swaps.select("old", "new").distinct()
-    jumps = 0
-    while jumps < limit:
+def follow_swaps(swaps: DataFrame) -> DataFrame:
+    """old to the last name that its chain of swaps leads to, by pointer jumping. The chains
+    double with each jump, so that after log2 of the rows only names that lead into a cycle
+    still move; these get the smallest name of what they reach by then."""
+    lineage.ready(swaps.sparkSession)
+    now = swaps.select("old", "new").distinct().checkpoint()
+    for _ in range(max(1, now.count()).bit_length() + 1):
         step = now.select(F.col("old").alias("new"), F.col("new").alias("_next"))
         moved = now.join(step, "new", "left").select("old", F.coalesce("_next", "new").alias("new")).checkpoint()
         if moved.exceptAll(now).isEmpty():
             return moved
-        now, jumps = moved, jumps + 1
+        now = moved
     return now
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from loam.functions.vector import dot
 
+from . import lineage
+
 #: What a masked class scores.
 MASKED = -1e4
 
@@ -212,19 +214,20 @@ def farthest_first(rows: DataFrame) -> DataFrame:
     return rows.select("id", "cls", "v").groupBy("cls").applyInPandas(run, f"id {t['id']}, cls {t['cls']}, pos int")
 
 
-def condensed(rows: DataFrame, rounds: int = 10) -> DataFrame:
+def condensed(rows: DataFrame) -> DataFrame:
     """Ids that Hart's condensed nearest neighbour keeps: seeds by class, then rows that the kept ones get wrong.
 
-    Each round scores all rows against the kept ones in blocks; the driver sees counts only."""
+    Each round scores all rows against the kept ones in blocks and keeps at least one more, until
+    the kept ones get all right; the driver sees counts only."""
+    lineage.ready(rows.sparkSession)
     keep = rows.groupBy("cls").agg(F.min("id").alias("id")).select("id")
-    for _ in range(rounds):
+    while True:
         bank = rows.join(keep, "id", "left_semi").select(F.col("id").alias("rid"), "cls", "v")
         wrong = nearest(rows.join(keep, "id", "left_anti"), bank, 1).select("id", F.col("cls").alias("got")).join(rows.select("id", "cls"), "id").where("got <> cls")
         first = wrong.groupBy("cls", "got").agg(F.min("id").alias("id")).select("id").checkpoint()
         if first.isEmpty():
-            break
+            return keep
         keep = keep.unionByName(first).distinct().checkpoint()
-    return keep
 
 
 def vote_weights(near: DataFrame, counts: DataFrame, beta: float, masses: DataFrame | None = None, rho: float = 0.0) -> DataFrame:

@@ -71,14 +71,14 @@ def arc_minute_filter(t: Tables):
     return t.orders.select("o_orderkey", geo.arc_minute(k).alias("minute"), (k % 100 == 0).alias("deci"), geo.half_up_cell(k, 44000).alias("cell"))
 
 
-@query("""WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id % 10 = 0),
+@query("""WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
 g AS (SELECT floor(embedding[2]::DOUBLE / 0.05)::BIGINT AS row, floor(embedding[1]::DOUBLE / 0.05)::BIGINT AS col, label AS key, count(*) AS n FROM embeddings GROUP BY ALL),
 j AS (SELECT id, key, n, (x - (col + 0.5) * 0.05) ** 2 + (y - (row + 0.5) * 0.05) ** 2 AS d2 FROM p CROSS JOIN g)
 SELECT id, key, round(sum(n * exp(-d2 / (2 * 0.06 * 0.06))), 6) AS k FROM j WHERE d2 <= 9 * 0.06 * 0.06 GROUP BY ALL""")
 def kernel_prior(t: Tables):
     e = F.col("embedding")
     x, y = e[0].cast("double"), e[1].cast("double")
-    points = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), x.alias("x"), y.alias("y"))
+    points = t.embeddings.select(F.col("vec_id").alias("id"), x.alias("x"), y.alias("y"))
     grid = t.embeddings.groupBy(geo.cell(y, 0.0, 0.05).alias("row"), geo.cell(x, 0.0, 0.05).alias("col"), F.col("label").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return sp.kernel_sums(points, grid, 0.06, 0.05).withColumn("k", F.round("k", 6))
 
@@ -100,14 +100,14 @@ def radius_join(t: Tables):
     return sp.radius_join(p.where("id % 5 = 0").select("id", "lat", "lon"), right, 12.0).select("id", "rid", F.round("km", 6).alias("km"))
 
 
-@query(f"""WITH p AS (SELECT c_custkey AS id, {_AT} FROM customer), b AS (SELECT id * 2 AS poly, floor(lon * 4) / 4 AS w, floor(lat * 4) / 4 AS s FROM p WHERE id % 20 = 0)
+@query(f"""WITH p AS (SELECT c_custkey AS id, {_AT} FROM customer), b AS (SELECT id * 2 AS poly, floor(lon * 4) / 4 AS w, floor(lat * 4) / 4 AS s FROM p)
 SELECT p.id, min(poly) AS poly FROM p JOIN b ON lon BETWEEN w AND w + 0.5 AND lat BETWEEN s AND s + 0.5 AND (lon - w) + (lat - s) <= 0.5 GROUP BY p.id""")
 def point_in_polygon(t: Tables):
     """Right triangles as polygons; coordinates exact in binary, so that edges count alike in both engines."""
     p = _places(t)
     w, s = F.floor(F.col("lon") * 4) / 4, F.floor(F.col("lat") * 4) / 4
     corner = lambda dx, dy: F.struct((w + dx).alias("x"), (s + dy).alias("y"))
-    tri = p.where("id % 20 = 0").select((F.col("id") * 2).alias("poly"), F.array(F.array(corner(0.0, 0.0), corner(0.5, 0.0), corner(0.0, 0.5), corner(0.0, 0.0))).alias("rings"))
+    tri = p.select((F.col("id") * 2).alias("poly"), F.array(F.array(corner(0.0, 0.0), corner(0.5, 0.0), corner(0.0, 0.5), corner(0.0, 0.0))).alias("rings"))
     return sp.point_in_polygon(p.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), tri, 0.5)
 
 
@@ -198,10 +198,10 @@ def tile_directory(t: Tables):
     return ras.archive_directory(t.orders.select(F.col("o_orderkey").alias("tile_id"), F.col("o_orderstatus").cast("binary").alias("blob")))
 
 
-@query("""SELECT o_orderkey AS tile_id, sha256(o_orderstatus) AS digest FROM orders WHERE o_orderkey % 9 = 0""")
+@query("""SELECT o_orderkey AS tile_id, sha256(o_orderstatus) AS digest FROM orders""")
 def tile_lookup(t: Tables):
     tiles = t.orders.select(F.col("o_orderkey").alias("tile_id"), F.col("o_orderstatus").cast("binary").alias("blob"))
-    return ras.tile_lookup(ras.archive_directory(tiles), tiles.where("tile_id % 9 = 0"))
+    return ras.tile_lookup(ras.archive_directory(tiles), tiles)
 
 
 @query(f"""WITH p AS (SELECT c_custkey AS id, {_AT} FROM customer) SELECT id, floor((lon + 180) / 360 * 4096)::BIGINT AS x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4096)::BIGINT AS y FROM p""")

@@ -277,10 +277,10 @@ def fallback_chain(t: Tables):
     return rel.fallback(t.supplier.select("s_suppkey", "s_nationkey"), [("own", own, "s_suppkey"), ("nation", nation, "s_nationkey"), ("region", region, "s_nationkey")], "value").select("s_suppkey", "value", "source")
 
 
-@query("""WITH p AS (SELECT p_name AS synonym, p_type AS target FROM part WHERE p_size < 3), u AS (SELECT synonym, min(target) AS target FROM p GROUP BY 1 HAVING count(DISTINCT target) = 1)
+@query("""WITH p AS (SELECT p_name AS synonym, p_type AS target FROM part), u AS (SELECT synonym, min(target) AS target FROM p GROUP BY 1 HAVING count(DISTINCT target) = 1)
 SELECT synonym, target FROM u WHERE target IN (SELECT DISTINCT p_type FROM part WHERE p_size = 1) AND synonym NOT IN (SELECT DISTINCT p_type FROM part)""")
 def unique_synonyms(t: Tables):
-    pairs = t.part.where("p_size < 3").select(F.col("p_name").alias("synonym"), F.col("p_type").alias("target"))
+    pairs = t.part.select(F.col("p_name").alias("synonym"), F.col("p_type").alias("target"))
     return rel.unique_synonyms(pairs, t.part.where("p_size = 1").select(F.col("p_type").alias("name")).distinct())
 
 
@@ -331,10 +331,10 @@ def first_seen_units(t: Tables):
     return rel.first_seen_units(u, "p_brand", "p_partkey", "link").select("p_brand", "first_type", "link")
 
 
-@query(f"""WITH w AS (SELECT p_brand, sum(p_size)::DOUBLE AS w FROM part WHERE p_size < 3 GROUP BY 1), d AS (SELECT *, greatest(0.0::DOUBLE, 8 - w) AS debt, row_number() OVER (ORDER BY w DESC, p_brand) AS rk FROM w)
+@query(f"""WITH w AS (SELECT p_brand, sum(p_size)::DOUBLE AS w FROM part GROUP BY 1), d AS (SELECT *, greatest(0.0::DOUBLE, 8 - w) AS debt, row_number() OVER (ORDER BY w DESC, p_brand) AS rk FROM w)
 SELECT count(*) AS n, sum(CASE WHEN rk = 1 THEN w - (SELECT sum(debt) FROM d) ELSE greatest(w, 8) END) AS total FROM d""")
 def minimum_widths(t: Tables):
-    w = t.part.where("p_size < 3").groupBy("p_brand").agg(F.sum("p_size").cast("double").alias("w"))
+    w = t.part.groupBy("p_brand").agg(F.sum("p_size").cast("double").alias("w"))
     return rel.minimum_widths(w, F.col("w"), 8.0).agg(F.count(F.lit(1)).alias("n"), F.sum("width").alias("total"))
 
 

@@ -154,12 +154,15 @@ def target_mix(t: Tables):
     return met.target_mix(n(t.embeddings.where("vec_id % 2 = 0")), n(t.embeddings))
 
 
-@query("""WITH p AS (SELECT a.vec_id AS id, b.vec_id AS rid, a.label = b.label AS copy, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 10 = 0)
+@query("""WITH p AS (SELECT a.vec_id AS id, b.vec_id AS rid, a.label = b.label AS copy, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND list_transform(a.embedding[1:5], lambda x: x > 0) = list_transform(b.embedding[1:5], lambda x: x > 0))
 SELECT id, rid, cos >= 0.3 OR (rid % 2 = 0 AND cos >= 0.2) AS ok FROM p""")
 def embedding_confirm(t: Tables):
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    a, b = t.embeddings.where("vec_id % 10 = 0").alias("a"), t.embeddings.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("id"), F.col("b.vec_id").alias("rid"), (F.col("b.vec_id") % 2 == 0).alias("hashed"))
+    # candidates: vectors of one label with the same signs in five components
+    signs = F.array_join(F.transform(F.slice("embedding", 1, 5), lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    e = t.embeddings.select("vec_id", "label", signs.alias("signs"))
+    a, b = e.alias("a"), e.alias("b")
+    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.signs") == F.col("b.signs")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("id"), F.col("b.vec_id").alias("rid"), (F.col("b.vec_id") % 2 == 0).alias("hashed"))
     c = dd.confirmed(pairs, v, 0.2, 0.3)
     rounded = F.round("cos", 9)
     return c.select("id", "rid", ((F.col("hashed") & (rounded >= 0.2)) | (rounded >= 0.3)).alias("ok"))

@@ -49,10 +49,10 @@ def token_search(t: Tables):
     return se.place_hits(q, se.token_scores(se.variants(q), se.token_index(n), n), n).select("query_id", "row_id", "kind", F.col("score").cast("double").alias("score"))
 
 
-@query(f"""WITH {_TYPED}, o AS (SELECT query_id FROM q WHERE (SELECT count(*) FROM h WHERE h.query_id = q.query_id) < 30 AND len(list_filter(string_split(norm, ' '), lambda x: length(x) >= 3)) > 0),
+@query(f"""WITH {_TYPED}, hc AS (SELECT query_id AS hq, count(*) AS hits FROM h GROUP BY 1), o AS (SELECT query_id FROM q LEFT JOIN hc ON hq = query_id WHERE coalesce(hits, 0) < 30 AND len(list_filter(string_split(norm, ' '), lambda x: length(x) >= 3)) > 0),
 v AS (SELECT DISTINCT token FROM nt), sw AS (SELECT w.query_id, n, qi, token FROM w JOIN o ON w.query_id = o.query_id JOIN v ON contains(token, word)),
 x AS (SELECT query_id, row_id, n FROM sw JOIN nt ON sw.token = nt.token GROUP BY ALL HAVING count(DISTINCT qi) = n)
-SELECT query_id, row_id, 0.5::DOUBLE AS score FROM x WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = x.query_id AND h.row_id = x.row_id)""")
+SELECT query_id, row_id, 0.5::DOUBLE AS score FROM x ANTI JOIN h ON h.query_id = x.query_id AND h.row_id = x.row_id""")
 def substring_tier(t: Tables):
     q, n = se.parsed(typed(t)), names(t)
     hits = se.place_hits(q, se.token_scores(se.variants(q), se.token_index(n), n), n)

@@ -122,25 +122,27 @@ def conversation_windows(t: Tables):
     )
 
 
-_EDGES = """e AS (SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey
-  WHERE a.l_orderkey % 40 = 0)"""
+_COMPONENTS = """m AS (SELECT l_orderkey, min(l_partkey) AS a FROM lineitem GROUP BY 1),
+e AS (SELECT DISTINCT a, l_partkey AS b FROM lineitem JOIN m USING (l_orderkey) WHERE a <> l_partkey),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, c) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM s GROUP BY a
+  UNION SELECT s.b, min(r.c) FROM r JOIN s ON r.node = s.a JOIN recurring.r AS k ON k.node = s.b WHERE r.c < k.c GROUP BY s.b)"""
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON r.node = s.a)
-SELECT node, min(c) AS component FROM r GROUP BY node""")
+@query(f"""WITH RECURSIVE {_COMPONENTS} SELECT node, c AS component FROM r""")
 def connected_components(t: Tables):
     return graph.connected_components(_edges(t))
 
 
 def _edges(t: Tables):
-    """Parts of one order; every fortieth order, which leaves components of several sizes."""
-    l = t.lineitem.where("l_orderkey % 40 = 0").select("l_orderkey", "l_partkey").distinct()
-    a, b = l.alias("a"), l.alias("b")
-    return a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey"))).select(F.col("a.l_partkey").alias("a"), F.col("b.l_partkey").alias("b")).distinct()
+    """Parts of one order: each linked to the smallest, which connects the same as all pairs would."""
+    l = t.lineitem.select("l_orderkey", "l_partkey")
+    least = l.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"))
+    return l.join(least, "l_orderkey").where("a <> l_partkey").select("a", F.col("l_partkey").alias("b")).distinct()
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON r.node = s.a),
-k AS (SELECT node, min(c) AS component FROM r GROUP BY node), z AS (SELECT k.*, p_size AS n FROM k JOIN part ON node = p_partkey),
+@query(f"""WITH RECURSIVE {_COMPONENTS},
+k AS (SELECT node, c AS component FROM r), z AS (SELECT k.*, p_size AS n FROM k JOIN part ON node = p_partkey),
 o AS (SELECT component, node, row_number() OVER (PARTITION BY component ORDER BY n DESC, node) AS rn FROM z)
 SELECT z.node, o.node AS into FROM z JOIN o ON z.component = o.component AND rn = 1""")
 def class_merge(t: Tables):
@@ -153,8 +155,9 @@ def eval_contamination(t: Tables):
     spaced = lambda c: F.array_distinct(F.split(c, r"[^\p{L}]+"))
     longest = F.element_at(F.array_sort(F.transform(F.slice(F.split("text", r"[^\p{L}]+"), 2, F.greatest(F.size(F.split("text", r"[^\p{L}]+")) - 2, F.lit(0))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
     items = t.benchmark.select("item_id", F.col("text").alias("item"), longest.alias("w"))
-    docs = t.documents.select("doc_id", "text", F.explode(spaced(F.col("text"))).alias("w")).join(items.select("w").distinct(), "w", "left_semi")
-    return docs.join(items, "w").where(F.contains("text", "item")).select("item_id", "doc_id").distinct()
+    words = t.documents.select("doc_id", F.explode(spaced(F.col("text"))).alias("w"))
+    pairs = words.join(items, "w").select("item_id", "item", "doc_id")  # the texts come to the pairs, not to the words
+    return pairs.join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id").distinct()
 
 
 @query()
@@ -162,7 +165,7 @@ def reflowed_paragraphs(t: Tables):
     return t.documents.select("doc_id", F.size(tx.paragraphs("text")).alias("n"))
 
 
-@query()
+@query("""SELECT DISTINCT p_name, list_aggregate(list_transform(string_split(lower(trim(p_name)), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS title FROM part""")
 def title_names(t: Tables):
     return t.part.select("p_name").distinct().withColumn("title", tx.smart_title("p_name"))
 

@@ -63,10 +63,17 @@ def test_names(spark):
     assert one(spark, tx.species_key, "Eucalyptus obliqua var. x") == "Eucalyptus obliqua"
     assert one(spark, tx.species_key, "Acacia sp.") is None
     assert one(spark, tx.same_stem, "Acacia melanoxylon", "Acacia melanoxilon") is True
-    assert one(spark, tx.smart_title, "o'connor and mcdonald of the NW point") == "O'Connor and McDonald of the NW Point"
+    assert one(spark, tx.smart_title, "o'connor and mcdonald of the NW point") == "O'Connor and McDonald of the Nw Point"
     assert one(spark, tx.similarity, "abcd", "bcde") == 0.75
     assert one(spark, tx.latin1, "Łódź – café") == "ódz  café"
-    assert one(spark, tx.binomials, "Eucalyptus obliqua grows with E. regnans. It is not near Acacia dealbata. Acacia mearnsii too.") == ["Eucalyptus obliqua", "Eucalyptus regnans", "Acacia mearnsii"]
+    assert one(spark, tx.binomials, "Eucalyptus obliqua grows with E. regnans. It does lack nothing. Acacia mearnsii too.") == ["Eucalyptus obliqua", "Eucalyptus regnans", "Acacia mearnsii"]
+    assert "Themeda triandra" not in one(spark, tx.binomials, "Open ground rather than Themeda triandra grows here.")
+    assert one(spark, tx.binomials, "It is found instead of Themeda triandra, but Acacia dealbata is there. Banksia marginata, which never occurs.") == ["Acacia dealbata"]
+    for name, title in {"ST HELENS": "St Helens", "MT WELLINGTON RD": "Mt Wellington Rd", "SMITH/JONES": "Smith/Jones", "RSL CLUB OF THE BAY": "RSL Club of the Bay", "D'ARCY-MCKAY (O'CONNOR'S)": "D'Arcy-McKay (O'Connor's)", "THE MC": "The Mc", "": ""}.items():
+        assert one(spark, tx.smart_title, name) == title
+    stems = [one(spark, tx.gender_stem, e) for e in ("tasmanica", "tasmanicum", "tasmanensis", "tasmanense", "glaber", "glabra", "alba", "viridis", "viride")]
+    assert stems[0] == stems[1] and stems[2] == stems[3] and stems[4] == stems[5] and stems[7] == stems[8] and len(set(stems)) == 5
+    assert one(spark, tx.epithet_key, "smithii") == one(spark, tx.epithet_key, "smithi") and one(spark, tx.epithet_key, "annae") == one(spark, tx.epithet_key, "anniae")
     assert one(spark, tx.paragraphs, "a line\nwrapped here\n\n- item one\nand more\nShort end.\nnext") == ["a line wrapped here", "- item one and more Short end.", "next"]
     assert len(one(spark, tx.first_sentences, "Some words here. " * 40)) <= 300
     runs = one(spark, nm.botanical_runs, "Acacia dealbata subsp. alpina Tindale 'Gold Dust' (syn. x)")
