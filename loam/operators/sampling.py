@@ -31,10 +31,20 @@ def capped_diverse(df: DataFrame, cls: str, person: str, per_person: int, per_cl
     return df.withColumn("rk_person", F.row_number().over(own)).withColumn("rk", F.row_number().over(all_)).where(F.col("rk") <= per_class)
 
 
+def with_count(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds the number of rows of the same keys: summed and joined, since a window would hold a
+    large group in one task. Null keys are a group."""
+    n = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(name))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(n, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def capped_with_counts(df: DataFrame, cls: str, extra: str, order: Iterable[Column], k: int) -> DataFrame:
     """The first k rows of each (class, extra) beside how many there are."""
     w = Window.partitionBy(cls, extra)
-    return df.withColumn("n_all", F.count(F.lit(1)).over(w)).withColumn("rk", F.row_number().over(w.orderBy(*order))).where(F.col("rk") <= k)
+    return with_count(df, [cls, extra], "n_all").withColumn("rk", F.row_number().over(w.orderBy(*order))).where(F.col("rk") <= k)
 
 
 def admit_by_budget(df: DataFrame, group: str, size: Column, order: Iterable[Column], budget: float) -> DataFrame:
@@ -52,7 +62,7 @@ def capacity_fill(df: DataFrame, label: str, order: Iterable[Column], existing:
 def stratified_fraction(df: DataFrame, cls: str, fraction: float, order: Iterable[Column]) -> DataFrame:
     """The first share of each class in the given order, at least one row."""
     w = Window.partitionBy(cls)
-    return df.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rk", F.row_number().over(w.orderBy(*order))).where(F.col("rk") <= F.greatest(F.lit(1), F.ceil(F.col("n") * fraction)))
+    return with_count(df, [cls], "n").withColumn("rk", F.row_number().over(w.orderBy(*order))).where(F.col("rk") <= F.greatest(F.lit(1), F.ceil(F.col("n") * fraction)))
 
 
 def class_targets(counts: DataFrame, kind: str, k: int = 0, power: float = 0.5) -> DataFrame:
@@ -68,7 +78,7 @@ def class_targets(counts: DataFrame, kind: str, k: int = 0, power: float = 0.5)
 def draw(df: DataFrame, cls: str, targets: DataFrame, order: Iterable[Column]) -> DataFrame:
     """target rows of each class in the given order, going round again where a class has fewer."""
     w = Window.partitionBy(cls)
-    ranked = df.withColumn("rk", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(w))
+    ranked = with_count(df, [cls], "n").withColumn("rk", F.row_number().over(w.orderBy(*order)))
     rows = ranked.join(targets.select(cls, "target"), cls).where(F.col("rk") <= F.col("target"))
     return rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.floor((F.col("target") - F.col("rk")) / F.col("n")).cast("int")))).drop("n")
 
@@ -76,8 +86,9 @@ def draw(df: DataFrame, cls: str, targets: DataFrame, order: Iterable[Column]) -
 def round_robin(df: DataFrame, cls: str, person: str, order: str, per_person: int, per_class: int) -> DataFrame:
     """A turn for each class in rotation; each takes its next row whose person has rows left.
 
-    Sequential by nature: the cap of a person spans classes. Only the first per_class *
-    per_person rows by (class, person) can ever be taken, so these alone go to one task."""
+    Sequential by nature: the cap of a person spans classes. Of each person and class only the
+    first per_person rows can ever be taken, so these alone go to one task; that task grows
+    with the number of (class, person) pairs, so the operator is for samples of bounded size."""
     ranked = df.withColumn("_own", F.row_number().over(Window.partitionBy(cls, person).orderBy(order))).where(F.col("_own") <= per_person).drop("_own")
     schema = ranked.schema
 
@@ -106,7 +117,7 @@ def round_robin(df: DataFrame, cls: str, person: str, order: str, per_person: in
 
 def inverse_weights(sample: DataFrame, cls: str, natural: DataFrame) -> DataFrame:
     """Adds weight = rows of the class there are / rows sampled. natural: cls, n."""
-    return sample.withColumn("n_sampled", F.count(F.lit(1)).over(Window.partitionBy(cls))).join(natural, cls).withColumn("weight", F.col("n") / F.col("n_sampled"))
+    return with_count(sample, [cls], "n_sampled").join(natural, cls).withColumn("weight", F.col("n") / F.col("n_sampled"))
 
 
 def quota_scale(histogram: list[tuple[int, int]], budget: int, floor: int = 1) -> float:

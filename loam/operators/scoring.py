@@ -21,29 +21,44 @@ from . import lineage
 MASKED = -1e4
 
 
-def nearest(queries: DataFrame, bank: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+#: Rows of one block of either side; a small bank is cut further, into BLOCKS at most.
+BLOCK_ROWS, BLOCKS = 16_384, 8
+
+
+def nearest(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
     """id, rid, cls, s of the k nearest bank rows by dot product, ties to the lowest rid.
 
-    queries: id, v; bank: rid, cls, v. The bank is cut into blocks; each query meets each
-    block in one task, which keeps its k best only, so that k * blocks rows a query meet."""
-    b = bank.withColumn("_b", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
-    q = queries.select("id", "v").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries: id, v; bank: rid, cls, v. Both are cut into blocks of BLOCK_ROWS at most, about;
+    each pair of blocks is one task of bounded size, which keeps the k best of each query."""
+    n_bank, n_queries = bank.count(), queries.count()
+    nb = max(1, -(-n_bank // BLOCK_ROWS), min(BLOCKS, n_bank // 256))
+    nq = max(1, -(-n_queries // BLOCK_ROWS))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    b = bank.select(*[F.col(c).alias(c) for c in ("rid", "cls", "v")], block("rid", nb).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("_q"))
+    q = queries.select("id", "v", block("id", nq).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_b"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "rid": [], "cls": [], "s": []})
         right = right.sort_values("rid")
-        m, out = np.stack(right["v"].to_numpy()).astype(float), []
-        for at in range(0, len(left), 1024):
-            part = left.iloc[at : at + 1024]
+        rid, cls, out = right["rid"].to_numpy(), right["cls"].to_numpy(), []
+        m = np.stack(right["v"].to_numpy()).astype(float)
+        for at in range(0, len(left), 512):
+            part = left.iloc[at : at + 512]
             s = np.stack(part["v"].to_numpy()).astype(float) @ m.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            n = top.shape[1]
-            out.append(pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), n), "rid": right["rid"].to_numpy()[top].ravel(), "cls": right["cls"].to_numpy()[top].ravel(), "s": np.take_along_axis(s, top, 1).ravel()}))
+            if s.shape[1] > 4 * k:  # what reaches the k-th best, ties included, in the order of rid
+                r, c = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+            else:
+                r, c = (x.ravel() for x in np.indices(s.shape))
+            order = np.lexsort((c, -s[r, c], r))
+            r, c = r[order], c[order]
+            best = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+            r, c = r[best], c[best]
+            out.append(pd.DataFrame({"id": part["id"].to_numpy()[r], "rid": rid[c], "cls": cls[c], "s": s[r, c]}))
         return pd.concat(out)
 
     schema = f"id {dict(queries.dtypes)['id']}, rid {dict(bank.dtypes)['rid']}, cls {dict(bank.dtypes)['cls']}, s double"
-    found = q.groupBy("_b").cogroup(b.select(*[F.col(c).alias(c) for c in ("rid", "cls", "v", "_b")]).groupBy("_b")).applyInPandas(run, schema)
+    found = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(run, schema)
     return found.withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "rid"))).where(F.col("rk") <= k)
 
 

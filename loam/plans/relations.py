@@ -277,10 +277,10 @@ def fallback_chain(t: Tables):
     return rel.fallback(t.supplier.select("s_suppkey", "s_nationkey"), [("own", own, "s_suppkey"), ("nation", nation, "s_nationkey"), ("region", region, "s_nationkey")], "value").select("s_suppkey", "value", "source")
 
 
-@query("""WITH p AS (SELECT p_name AS synonym, p_type AS target FROM part), u AS (SELECT synonym, min(target) AS target FROM p GROUP BY 1 HAVING count(DISTINCT target) = 1)
+@query("""WITH p AS (SELECT p_name || ' ' || p_size AS synonym, p_type AS target FROM part), u AS (SELECT synonym, min(target) AS target FROM p GROUP BY 1 HAVING count(DISTINCT target) = 1)
 SELECT synonym, target FROM u WHERE target IN (SELECT DISTINCT p_type FROM part WHERE p_size = 1) AND synonym NOT IN (SELECT DISTINCT p_type FROM part)""")
 def unique_synonyms(t: Tables):
-    pairs = t.part.select(F.col("p_name").alias("synonym"), F.col("p_type").alias("target"))
+    pairs = t.part.select(F.concat_ws(" ", "p_name", "p_size").alias("synonym"), F.col("p_type").alias("target"))
     return rel.unique_synonyms(pairs, t.part.where("p_size = 1").select(F.col("p_type").alias("name")).distinct())
 
 
