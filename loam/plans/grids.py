@@ -210,14 +210,24 @@ def lonlat_tiles(t: Tables):
     return p.select("id", geo.tile_x(F.col("lon"), 12).alias("x"), geo.tile_y(F.col("lat"), 12).alias("y"))
 
 
-@query()
+@query(f"""WITH k AS (SELECT 1 / (2 * 298.257222101::DOUBLE - 1) AS n, sqrt((2 - 1 / 298.257222101::DOUBLE) / 298.257222101::DOUBLE) AS e),
+c AS (SELECT e, 0.9996::DOUBLE * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64 + n ** 6 / 256) AS a, [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 - 127 * n ** 5 / 288 + 7891 * n ** 6 / 37800,
+  13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 + 281 * n ** 5 / 630 - 1983433 * n ** 6 / 1935360, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 + 15061 * n ** 5 / 26880 + 167603 * n ** 6 / 181440,
+  49561 * n ** 4 / 161280 - 179 * n ** 5 / 168 + 6601661 * n ** 6 / 7257600, 34729 * n ** 5 / 80640 - 3418889 * n ** 6 / 1995840, 212378941 * n ** 6 / 319334400] AS al FROM k),
+p AS (SELECT c_custkey AS id, {_AT} FROM customer), s AS (SELECT id, radians(lon - 147) AS lam, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, a, al FROM p, c),
+x AS (SELECT id, a, al, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM s)
+SELECT id, round(500000 + a * (eta + list_sum(list_transform(al, lambda v, j: v * cos(2 * j * xi) * sinh(2 * j * eta)))), 3) AS e, round(10000000 + a * (xi + list_sum(list_transform(al, lambda v, j: v * sin(2 * j * xi) * cosh(2 * j * eta)))), 3) AS n FROM x""")
 def mga_grid(t: Tables):
     p = _places(t)
     g = geo.mga55(F.col("lat"), F.col("lon"))
     return p.select("id", F.round(g["e"], 3).alias("e"), F.round(g["n"], 3).alias("n"))
 
 
-@query()
+@query(f"""WITH {_PIX}, g AS (SELECT cls AS code, row // 8 AS row, col // 8 AS col, count(*) AS n FROM pix WHERE cls IS NOT NULL GROUP BY ALL), t AS (SELECT code, sum(n) AS t FROM g GROUP BY 1),
+r AS (SELECT DISTINCT code, row FROM g), c AS (SELECT DISTINCT code, col FROM g),
+s AS (SELECT a.code, a.row AS row0, b.row AS row1, g.col, sum(n) AS n FROM r a JOIN r b ON a.code = b.code AND a.row <= b.row JOIN g ON g.code = a.code AND g.row BETWEEN a.row AND b.row GROUP BY ALL),
+x AS (SELECT s.code, row0, row1, a.col AS col0, b.col AS col1, sum(n) AS n FROM s JOIN c a ON a.code = s.code JOIN c b ON b.code = s.code AND a.col <= b.col AND s.col BETWEEN a.col AND b.col GROUP BY ALL)
+SELECT code, row0, col0, row1, col1 FROM (SELECT x.*, row_number() OVER (PARTITION BY x.code ORDER BY (row1 - row0 + 1) * (col1 - col0 + 1), row0, col0, row1, col1) AS rn FROM x JOIN t ON x.code = t.code WHERE n >= 0.5 * t) WHERE rn = 1""")
 def core_boxes(t: Tables):
     cells = _pixels(t).where("cls is not null").groupBy(F.col("cls").alias("code"), F.expr("row div 8").alias("row"), F.expr("col div 8").alias("col")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return sp.core_box(cells, 0.5)

@@ -97,7 +97,10 @@ def blob_chain(t: Tables):
     return pl.chain(t.nation.select(k.alias("at"), F.when((k % 6 < 5) & (k < 24), k + 1).alias("next"))).select("start", "at", "step")
 
 
-@query()
+@query("""WITH g AS (SELECT o_orderkey * 31 % 97 AS row, o_orderkey * 17 % 89 AS col, count(*) AS n FROM orders GROUP BY ALL),
+d AS (SELECT r, c, exp(-(r * r + c * c) / 4.5::DOUBLE) AS w FROM range(-5, 6) a(r), range(-5, 6) b(c) WHERE r * r + c * c <= 20.25),
+v AS (SELECT row + r AS row, col + c AS col, round(sum(n * w / (SELECT sum(w) FROM d)), 6) AS v FROM g, d GROUP BY ALL)
+SELECT row, col, v, CAST(greatest(0, least(5, round_even(log2(4 / greatest(v, 1e-9::DOUBLE)), 0))) AS INTEGER) AS code FROM v""")
 def smoothed_grid(t: Tables):
     o = F.col("o_orderkey")
     g = t.orders.groupBy((o * 31 % 97).alias("row"), (o * 17 % 89).alias("col")).agg(F.count(F.lit(1)).alias("n"))
@@ -117,7 +120,13 @@ def rows_for_empty_classes(t: Tables):
     return sc.rows_for_empty(classes, rows).select("cls", "how", F.posexplode("v").alias("i", "x")).select("cls", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"), "how")
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), g AS (SELECT floor(y / 0.05)::BIGINT AS row, floor(x / 0.05)::BIGINT AS col, label AS key, count(*) AS n FROM e GROUP BY ALL),
+c AS (SELECT row, col, sum(n) >= 4 AS dense FROM g GROUP BY ALL), f AS (SELECT label AS cls, (count(*) + 1) / sum(count(*) + 1) OVER () AS f FROM e GROUP BY 1),
+p AS (SELECT id, x, y, CASE WHEN dense THEN 0.04::DOUBLE ELSE 0.08::DOUBLE END AS sigma, CASE WHEN dense THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS alpha FROM e JOIN c ON row = floor(y / 0.05)::BIGINT AND col = floor(x / 0.05)::BIGINT WHERE id % 7 <> 0),
+j AS (SELECT id, key, n, sigma, (x - (col + 0.5) * 0.05) ** 2 + (y - (row + 0.5) * 0.05) ** 2 AS d2 FROM p CROSS JOIN g), k AS (SELECT id, key, sum(n * exp(-d2 / (2 * sigma * sigma))) AS k FROM j WHERE d2 <= 9 * sigma * sigma GROUP BY ALL),
+s AS (SELECT id, sum(k) AS t FROM k GROUP BY 1)
+SELECT p.id, f.cls, round(ln((coalesce(k.k, 0) + alpha * f.f) / (coalesce(s.t, 0) + alpha)), 6) AS lp FROM p CROSS JOIN f LEFT JOIN k ON k.id = p.id AND k.key = f.cls LEFT JOIN s ON s.id = p.id
+UNION ALL SELECT id, cls, round(ln(f.f), 6) FROM e CROSS JOIN f WHERE id % 7 = 0""")
 def adaptive_prior(t: Tables):
     """Widths by cell code; every seventh point has no location and gets the class frequency."""
     from loam.functions import geo
@@ -131,7 +140,8 @@ def adaptive_prior(t: Tables):
     return sc.adaptive_prior(points, grid, codes, [(0.04, 0.5), (0.08, 1.0), (0.1, 2.0)], f, 0.05).withColumn("lp", F.round("lp", 6))
 
 
-@query()
+@query(r"""WITH l AS (SELECT conv_id || '/' || turn AS page, role, list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(9) || chr(11) || chr(12) || chr(13) || ' ')) AS l FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)
+SELECT page, 'Name' AS label, trim(role) AS value FROM l UNION ALL SELECT page, 'Notes', array_to_string(CASE WHEN list_position(l, '') > 0 THEN l[1:list_position(l, '') - 1] ELSE l END, ' ') FROM l""")
 def labelled_sections(t: Tables):
     """A page for each turn of each conversation."""
     page = F.concat_ws("/", "conv_id", "turn").alias("page")

@@ -118,9 +118,13 @@ def hybrid_scores(t: Tables):
     return sc.hybrid(v, own, 1.0).withColumn("lp", F.round("lp", 4))
 
 
-@query()
+@query(f"""WITH {_VOTE}, x AS (SELECT cls, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM b), u AS (SELECT cls, list(x ORDER BY i) AS v FROM (SELECT cls, i, sum(x) AS x FROM x GROUP BY ALL) GROUP BY 1),
+h AS (SELECT id, u.cls, 10 * list_dot_product(q.v, u.v) / sqrt(list_dot_product(u.v, u.v)) AS z FROM q CROSS JOIN u), f AS (SELECT cls, ln((count(*) + 1) / sum(count(*) + 1) OVER ()) AS f FROM b GROUP BY 1),
+s AS (SELECT id, cls, z - ln(sum(exp(z)) OVER (PARTITION BY id)) AS z FROM h), wz AS (SELECT s.id, s.cls, z + 0.5 * greatest(l, -12) AS z FROM s JOIN vote ON s.id = vote.id AND s.cls = vote.cls),
+n AS (SELECT id, cls, z - ln(sum(exp(z)) OVER (PARTITION BY id)) AS z FROM wz), cz AS (SELECT id, n.cls, (z + 0.3 * f) / 1.2::DOUBLE AS z FROM n JOIN f ON n.cls = f.cls)
+SELECT id, cls, round(z - ln(sum(exp(z)) OVER (PARTITION BY id)), 6) AS lp FROM cz""")
 def combined_scores(t: Tables):
-    """Head, vote and prior, renormalised; no SQL for the head's matrix product."""
+    """Head, vote and prior, renormalised."""
     q, bank, v = _vote(t)
     protos = sc.prototypes(bank, 0.0, bank.limit(0).select("cls", "v")).withColumn("bias", F.lit(0.0))
     head = sc.head_scores(q, protos)
@@ -197,7 +201,11 @@ def dedup_reasons(t: Tables):
     return dd.reasons(i.select("id"), [("twin", dd.twins(i, pairs)), ("copy", dd.earlier_copies(i, 1, 1, 12))])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS id, label AS grp, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+n AS (SELECT a.id, a.grp, a.i, coalesce(list(b.i) FILTER (WHERE b.i IS NOT NULL), []) AS near FROM e a LEFT JOIN e b ON a.grp = b.grp AND b.i < a.i AND list_dot_product(a.v, b.v) >= 0.3 GROUP BY ALL),
+r AS (SELECT grp, 0::BIGINT AS i, []::BIGINT[] AS kept, NULL::BIGINT AS id, FALSE AS gone FROM e GROUP BY grp
+  UNION ALL SELECT n.grp, n.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, n.i) END, n.id, list_has_any(kept, near) FROM r JOIN n ON n.grp = r.grp AND n.i = r.i + 1)
+SELECT id FROM r WHERE gone""")
 def greedy_dedup(t: Tables):
     e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("vec_id").alias("rank"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return dd.greedy_copies(e, 0.3)
@@ -210,12 +218,19 @@ def kmeans_banks(t: Tables):
     return sc.kmeans_bank(e.join(n, "cls"), "k").select("cls", "i", "n")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS id, label AS cls, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+s AS (SELECT a.cls, a.id, a.i, list(list_dot_product(a.v, b.v) ORDER BY b.i) AS s FROM e a JOIN e b ON a.cls = b.cls GROUP BY ALL),
+o AS (SELECT cls, i, row_number() OVER (PARTITION BY cls ORDER BY list_sum(s) DESC, i) AS rn FROM s),
+r AS (SELECT s.cls, 0 AS pos, s.i, s.id, list_transform(s.s, lambda x, j: CASE WHEN j = s.i THEN 'inf'::DOUBLE ELSE x END) AS near FROM s JOIN o ON o.cls = s.cls AND o.i = s.i AND rn = 1
+  UNION ALL SELECT s.cls, pos + 1, s.i, s.id, list_transform(near, lambda x, j: CASE WHEN j = s.i THEN 'inf'::DOUBLE ELSE greatest(x, s.s[j]) END) FROM r JOIN s ON s.cls = r.cls AND s.i = list_position(near, list_min(near)) WHERE list_min(near) < 'inf'::DOUBLE)
+SELECT id, cls, pos FROM r""")
 def farthest_first(t: Tables):
     return sc.farthest_first(t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("cls"), F.col("embedding").alias("v")))
 
 
-@query()
+@query(f"""WITH {_PRED}, r AS (SELECT q.id, CAST(sp.cls = q.y AS INT) - CAST(q.id % 2 = 0 AS INT) AS d FROM sp JOIN q ON sp.id = q.id), g AS (SELECT list(g) AS g FROM (SELECT sum(exp(-1) / factorial(k::INT)) OVER (ORDER BY k) AS g FROM range(0, 8) t(k))),
+rw AS (SELECT rep, d, len(list_filter(g, lambda x: ({h("id", "rep", seed="boot")} + 0.5) / 4294967296 >= x)) AS w FROM r, g, range(1, 201) t(rep)), m AS (SELECT rep, sum(w * d) / sum(w)::DOUBLE AS d FROM rw GROUP BY 1)
+SELECT round(avg(d), 6) AS diff, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM m""")
 def paired_bootstrap(t: Tables):
     p = _predictions(t).withColumn("other", F.col("id") % 2 == 0)
     return met.paired_bootstrap(p, "id", F.col("hit"), F.col("other")).select(*[F.round(c, 6).alias(c) for c in ("diff", "low", "high")])

@@ -29,15 +29,15 @@ _TYPED = """n AS (SELECT p_name, min(p_type) AS ty, row_number() OVER (ORDER BY
 t AS (SELECT i, ty, p_name, string_split(p_name, ' ') AS w FROM n),
 q0 AS (SELECT i * 10 AS query_id, p_name AS text FROM t UNION ALL SELECT i * 10 + 1, w[1] FROM t UNION ALL SELECT i * 10 + 2, substr(p_name, 1, 3) FROM t UNION ALL SELECT i * 10 + 3, w[-1] || ' ' || w[1] FROM t
   UNION ALL SELECT i * 10 + 4, w[1] || ' ' || ty FROM t UNION ALL SELECT i * 10 + 5, substr(p_name, 2, 4) FROM t UNION ALL SELECT i * 10 + 6, 'x' FROM t),
-q AS (SELECT query_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM q0 WHERE length(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) >= 2),
-nt AS (SELECT p_partkey AS row_id, unnest(string_split(norm, ' ')) AS token, unnest(range(len(string_split(norm, ' ')))) AS pos FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM part)),
+q AS MATERIALIZED (SELECT query_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM q0 WHERE length(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) >= 2),
+nt AS MATERIALIZED (SELECT p_partkey AS row_id, unnest(string_split(norm, ' ')) AS token, unnest(range(len(string_split(norm, ' ')))) AS pos FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM part)),
 ct AS (SELECT p_partkey AS row_id, unnest(string_split(norm, ' ')) AS token FROM (SELECT p_partkey, trim(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS norm FROM part)),
-w AS (SELECT query_id, norm, unnest(string_split(norm, ' ')) AS word, unnest(range(len(string_split(norm, ' ')))) AS qi, len(string_split(norm, ' ')) AS n FROM q),
+w AS MATERIALIZED (SELECT query_id, norm, unnest(string_split(norm, ' ')) AS word, unnest(range(len(string_split(norm, ' ')))) AS qi, len(string_split(norm, ' ')) AS n FROM q),
 a AS (SELECT query_id, row_id, qi, max(CASE WHEN word = token THEN 3 ELSE 2 END + CASE WHEN qi = 0 AND pos = 0 THEN 1 ELSE 0 END) AS s FROM w JOIN nt ON starts_with(token, word) GROUP BY ALL),
 b AS (SELECT DISTINCT query_id, row_id, qi FROM w JOIN ct ON starts_with(token, word)),
-m AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.row_id, b.row_id) AS row_id, coalesce(a.qi, b.qi) AS qi, coalesce(a.s, 1) AS s FROM a FULL JOIN b ON a.query_id = b.query_id AND a.row_id = b.row_id AND a.qi = b.qi),
+m AS MATERIALIZED (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.row_id, b.row_id) AS row_id, coalesce(a.qi, b.qi) AS qi, coalesce(a.s, 1) AS s FROM a FULL JOIN b ON a.query_id = b.query_id AND a.row_id = b.row_id AND a.qi = b.qi),
 g AS (SELECT query_id, row_id, s FROM (SELECT m.query_id, m.row_id, sum(s) AS s, count(*) AS c FROM m GROUP BY ALL) JOIN (SELECT DISTINCT query_id AS k, n FROM w) ON query_id = k WHERE c = n),
-h AS (SELECT g.query_id, row_id, p_name, KIND AS kind, g.s + CASE WHEN KIND = 'property' THEN CASE WHEN lower(p_name) = q.norm THEN 0.5 ELSE -0.5 END
+h AS MATERIALIZED (SELECT g.query_id, row_id, p_name, KIND AS kind, g.s + CASE WHEN KIND = 'property' THEN CASE WHEN lower(p_name) = q.norm THEN 0.5 ELSE -0.5 END
    ELSE CASE WHEN lower(p_name) = q.norm THEN 3 ELSE 0 END + CASE WHEN KIND IN ('road', 'transport') THEN -1 ELSE 0 END END AS score
   FROM g JOIN part ON row_id = p_partkey JOIN q ON g.query_id = q.query_id)""".replace("KIND", _KIND)
 
@@ -49,17 +49,23 @@ def token_search(t: Tables):
     return se.place_hits(q, se.token_scores(se.variants(q), se.token_index(n), n), n).select("query_id", "row_id", "kind", F.col("score").cast("double").alias("score"))
 
 
-@query(f"""WITH {_TYPED}, hc AS (SELECT query_id AS hq, count(*) AS hits FROM h GROUP BY 1), o AS (SELECT query_id FROM q LEFT JOIN hc ON hq = query_id WHERE coalesce(hits, 0) < 30 AND len(list_filter(string_split(norm, ' '), lambda x: length(x) >= 3)) > 0),
-v AS (SELECT DISTINCT token FROM nt), sw AS (SELECT w.query_id, n, qi, token FROM w JOIN o ON w.query_id = o.query_id JOIN v ON contains(token, word)),
-x AS (SELECT query_id, row_id, n FROM sw JOIN nt ON sw.token = nt.token GROUP BY ALL HAVING count(DISTINCT qi) = n)
-SELECT query_id, row_id, 0.5::DOUBLE AS score FROM x ANTI JOIN h ON h.query_id = x.query_id AND h.row_id = x.row_id""")
+_SUBSTRING = """hc AS (SELECT query_id AS hq, count(*) AS hits FROM h GROUP BY 1), o AS (SELECT query_id FROM q LEFT JOIN hc ON hq = query_id WHERE coalesce(hits, 0) < 30 AND len(list_filter(string_split(norm, ' '), lambda x: length(x) >= 3)) > 0),
+v AS MATERIALIZED (SELECT DISTINCT token FROM nt), sw AS MATERIALIZED (SELECT DISTINCT w.query_id, n, qi, token FROM w JOIN o ON w.query_id = o.query_id JOIN v ON contains(token, word)),
+x AS MATERIALIZED (SELECT query_id, row_id, n FROM sw JOIN nt ON sw.token = nt.token GROUP BY ALL HAVING count(DISTINCT qi) = n),
+sub AS MATERIALIZED (SELECT query_id, row_id, 0.5::DOUBLE AS score FROM x ANTI JOIN h ON h.query_id = x.query_id AND h.row_id = x.row_id)"""
+
+
+@query(f"""WITH {_TYPED}, {_SUBSTRING} SELECT query_id, row_id, score FROM sub""")
 def substring_tier(t: Tables):
     q, n = se.parsed(typed(t)), names(t)
     hits = se.place_hits(q, se.token_scores(se.variants(q), se.token_index(n), n), n)
     return se.substring_hits(q, n, hits).select("query_id", "row_id", F.col("score").cast("double").alias("score"))
 
 
-@query()
+@query(f"""WITH {_TYPED}, {_SUBSTRING}, u AS (SELECT query_id, row_id, score::DOUBLE AS score FROM h UNION ALL SELECT query_id, row_id, score FROM sub),
+k AS (SELECT query_id, row_id, p_name AS name, {_KIND} = 'property' AS prop, lower(p_name) || '|' || lower(p_type || ' ' || p_brand) AS key, score FROM u JOIN part ON row_id = p_partkey),
+d AS (SELECT query_id, row_id, name, score - CASE WHEN prop AND bool_or(NOT prop) OVER (PARTITION BY query_id) THEN 2 ELSE 0 END AS score, prop, bool_or(NOT prop) OVER (PARTITION BY query_id, key) AS twin FROM k)
+SELECT query_id, rk::INTEGER AS rk, row_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, row_id) AS rk FROM d WHERE NOT (prop AND twin)) WHERE rk <= 30""")
 def search_results(t: Tables):
     """The whole search: tiers, demotion, twins, top 30."""
     return se.search(typed(t), names(t))

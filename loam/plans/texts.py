@@ -160,7 +160,10 @@ def eval_contamination(t: Tables):
     return pairs.join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id").distinct()
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, text, i, CASE WHEN s = '' THEN 'blank' WHEN regexp_matches(s, '^[-*•]\s') THEN 'bullet' WHEN length(s) < 50 AND s[-1] IN ('.', '!', '?') THEN 'end' ELSE 'text' END AS k FROM (SELECT doc_id, text, i, trim(l, chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS s FROM l)),
+p AS (SELECT doc_id, text, k, coalesce(lag(k) OVER (PARTITION BY doc_id, text ORDER BY i), 'blank') AS p FROM k)
+SELECT doc_id, CAST(count(*) FILTER (WHERE k = 'bullet' OR k <> 'blank' AND p IN ('blank', 'end')) AS INTEGER) AS n FROM p GROUP BY doc_id, text""")
 def reflowed_paragraphs(t: Tables):
     return t.documents.select("doc_id", F.size(tx.paragraphs("text")).alias("n"))
 
