@@ -104,10 +104,11 @@ def address_hits(q: DataFrame, scores: DataFrame, numbers: DataFrame) -> DataFra
     return best.select("query_id", "row_id", F.col("m.number").alias("number"), (~F.col("m.a")).alias("exact"), (F.col("m.s") + 4 + off).alias("score"))
 
 
-def substring_hits(q: DataFrame, names: DataFrame, hits: DataFrame, limit: int = LIMIT) -> DataFrame:
+def substring_hits(q: DataFrame, names: DataFrame, hits: DataFrame, limit: int = LIMIT, shown: DataFrame | None = None) -> DataFrame:
     """Rows of which each query word is part of some word, at 0.5: for queries with room left and a
-    word of three letters. Words are matched on their distinct vocabulary, then joined to names."""
-    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    word of three letters. Words are matched on their distinct vocabulary, then joined to names.
+    Room is counted on `shown` (all hits, streets and addresses too), or else on hits."""
+    n = (hits if shown is None else shown).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     open_ = q.join(n, "query_id", "left").where((F.coalesce("n_hits", F.lit(0)) < limit) & F.exists("tokens", lambda t: F.length(t) >= 3))
     w = open_.select("query_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("qi", "word")).select("query_id", "n", "qi", F.explode(forms(F.col("word"))).alias("form"))
     tokens = names.select("row_id", F.explode(F.array_distinct(words(normalise(F.col("name"))))).alias("token"))
@@ -118,15 +119,18 @@ def substring_hits(q: DataFrame, names: DataFrame, hits: DataFrame, limit: int =
     return hit.join(hits.select("query_id", "row_id"), ["query_id", "row_id"], "left_anti").select("query_id", "row_id", F.lit(0.5).alias("score"))
 
 
-def demoted(hits: DataFrame, names: DataFrame) -> DataFrame:
-    """Properties 2 lower where anything official matched, and dropped where a shown row has their name and place.
-    hits: query_id, row_id, kind, score (others may follow)."""
-    official = F.max((F.col("kind") != "property").cast("int")).over(Window.partitionBy("query_id"))
-    h = hits.withColumn("_o", official).withColumn("score", F.col("score") - F.when((F.col("kind") == "property") & (F.col("_o") == 1), 2.0).otherwise(0.0)).drop("_o")
-    key = names.select("row_id", normalise(F.col("name")).alias("_n"), normalise(F.coalesce("context", F.lit(""))).alias("_p"))
-    h = h.join(key, "row_id")
-    shown = h.where("kind <> 'property'").select("query_id", "_n", "_p").distinct().withColumn("_twin", F.lit(True))
-    return h.join(shown, ["query_id", "_n", "_p"], "left").where(~((F.col("kind") == "property") & F.coalesce("_twin", F.lit(False)))).drop("_n", "_p", "_twin")
+def demoted(hits: DataFrame) -> DataFrame:
+    """Properties 2 lower where anything official matched as more than a substring (an address is
+    not official), and dropped where a shown row has their name and place. hits: query_id, source
+    ('entry', 'substring', 'street' or 'address'), kind, name, context, score; others stay."""
+    property_ = F.coalesce(F.col("kind") == "property", F.lit(False))
+    official = F.col("source").isin("entry", "street") & ~property_
+    keyed = hits.withColumns({"_n": normalise(F.col("name")), "_p": normalise(F.coalesce("context", F.lit("")))})
+    said = keyed.where(official).select("query_id").distinct().withColumn("_o", F.lit(True))
+    shown = keyed.where((F.col("source") != "address") & ~property_).select("query_id", "_n", "_p").distinct().withColumn("_twin", F.lit(True))
+    h = keyed.join(said, "query_id", "left").join(shown, ["query_id", "_n", "_p"], "left")
+    h = h.where(~(property_ & F.coalesce("_twin", F.lit(False))))
+    return h.withColumn("score", F.col("score") - F.when(property_ & F.coalesce("_o", F.lit(False)), 2.0).otherwise(0.0)).drop("_n", "_p", "_o", "_twin")
 
 
 def top(hits: DataFrame, limit: int = LIMIT, distance: Column | None = None) -> DataFrame:
@@ -136,14 +140,50 @@ def top(hits: DataFrame, limit: int = LIMIT, distance: Column | None = None) ->
     return hits.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= limit)
 
 
-def search(queries: DataFrame, names: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """query_id, rk, row_id, name, score. names: row_id, name, context, kind."""
+def _first(hits: DataFrame, limit: int) -> DataFrame:
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
+    return hits.withColumn("_rk", order).where(F.col("_rk") <= limit).drop("_rk")
+
+
+def search(queries: DataFrame, names: DataFrame, limit: int = LIMIT, streets: DataFrame | None = None, numbers: DataFrame | None = None) -> DataFrame:
+    """query_id, rk, row_id, name, score; with streets also source, meta and bounds.
+
+    names: row_id, name, context, kind. streets: row_id, name, context (the locality) of the address
+    file; numbers: row_id (of the street), pos, number and, for bounds, x and y. A query with a house
+    number gets the wanted or nearest number of the `limit` streets that its words match best, one
+    without gets streets that the register lacks. source is 'entry', 'substring', 'street' or
+    'address'; an address is named by the typed number, and its meta tells the one found instead;
+    bounds (west, south, east, north) frame a street of several numbers."""
     q = parsed(queries)
-    scores = token_scores(variants(q), token_index(names), names)
-    hits = place_hits(q, scores, names)
-    sub = substring_hits(q, names, hits, limit).join(names.select("row_id", "kind"), "row_id")
-    all_ = demoted(hits.select("query_id", "row_id", "kind", "score").unionByName(sub.select("query_id", "row_id", "kind", "score")), names)
-    return top(all_.join(names.select("row_id", "name"), "row_id"), limit).select("query_id", "rk", "row_id", "name", "score")
+    v = variants(q)
+    entries = place_hits(q, token_scores(v, token_index(names), names), names)
+    found = entries.select("query_id", "row_id", "kind", "score", F.lit("entry").alias("source"))
+    if streets is None:
+        sub = substring_hits(q, names, entries, limit)
+    else:
+        by_words = token_scores(v.where("variant = 0"), token_index(streets), streets)
+        road = _first(street_hits(q, by_words, streets, entries, names), limit).select("query_id", "row_id", F.lit("road").alias("kind"), "score", F.lit("street").alias("source"))
+        wanted = q.where("number is not null").select("query_id", F.col("number").alias("typed"))
+        # the best streets by their words alone, and only then their numbers
+        best = _first(by_words.join(wanted.select("query_id"), "query_id", "left_semi"), limit)
+        address = address_hits(q, best, numbers).join(wanted, "query_id")
+        address = address.select("query_id", "row_id", F.lit(None).cast("string").alias("kind"), "score", F.lit("address").alias("source"), "typed", F.when(~F.col("exact"), F.col("number")).alias("instead"))
+        sub = substring_hits(q, names, entries, limit, entries.select("query_id").unionByName(road.select("query_id")).unionByName(address.select("query_id")))
+    sub = sub.join(names.select("row_id", "kind"), "row_id").select("query_id", "row_id", "kind", "score", F.lit("substring").alias("source"))
+    all_ = found.unionByName(sub).join(names.select("row_id", "name", "context"), "row_id")
+    if streets is None:
+        return top(demoted(all_), limit).select("query_id", "rk", "row_id", "name", "score")
+    place = streets.select("row_id", "name", "context")
+    named = road.join(place, "row_id").withColumn("meta", F.concat(F.lit("Road · "), "context"))
+    at = address.join(place, "row_id").withColumn("name", F.concat_ws(" ", F.upper("typed"), "name"))
+    nearest = F.when(F.col("instead").isNotNull(), F.concat(F.lit(" · nearest: "), "instead")).otherwise("")
+    at = at.withColumn("meta", F.concat(F.lit("Address · "), "context", nearest)).drop("typed", "instead")
+    out = top(demoted(all_.withColumn("meta", F.lit(None).cast("string")).unionByName(named).unionByName(at)), limit)
+    if not {"x", "y"} <= set(numbers.columns):
+        return out.select("query_id", "rk", "source", "row_id", "name", "meta", "score")
+    box = numbers.groupBy("row_id").agg(F.count(F.lit(1)).alias("_n"), F.struct(F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north")).alias("bounds"))
+    box = box.where("_n > 1").select("row_id", F.lit("street").alias("source"), "bounds")
+    return out.join(box, ["row_id", "source"], "left").select("query_id", "rk", "source", "row_id", "name", "meta", "score", "bounds")
 
 
 def with_distance(hits: DataFrame, lat: Column, lon: Column, near_lat: Column, near_lon: Column) -> DataFrame:

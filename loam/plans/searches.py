@@ -62,9 +62,9 @@ def substring_tier(t: Tables):
     return se.substring_hits(q, n, hits).select("query_id", "row_id", F.col("score").cast("double").alias("score"))
 
 
-@query(f"""WITH {_TYPED}, {_SUBSTRING}, u AS (SELECT query_id, row_id, score::DOUBLE AS score FROM h UNION ALL SELECT query_id, row_id, score FROM sub),
-k AS (SELECT query_id, row_id, p_name AS name, {_KIND} = 'property' AS prop, lower(p_name) || '|' || lower(p_type || ' ' || p_brand) AS key, score FROM u JOIN part ON row_id = p_partkey),
-d AS (SELECT query_id, row_id, name, score - CASE WHEN prop AND bool_or(NOT prop) OVER (PARTITION BY query_id) THEN 2 ELSE 0 END AS score, prop, bool_or(NOT prop) OVER (PARTITION BY query_id, key) AS twin FROM k)
+@query(f"""WITH {_TYPED}, {_SUBSTRING}, u AS (SELECT query_id, row_id, score::DOUBLE AS score, TRUE AS whole FROM h UNION ALL SELECT query_id, row_id, score, FALSE FROM sub),
+k AS (SELECT query_id, row_id, p_name AS name, {_KIND} = 'property' AS prop, lower(p_name) || '|' || lower(p_type || ' ' || p_brand) AS key, score, whole FROM u JOIN part ON row_id = p_partkey),
+d AS (SELECT query_id, row_id, name, score - CASE WHEN prop AND bool_or(whole AND NOT prop) OVER (PARTITION BY query_id) THEN 2 ELSE 0 END AS score, prop, bool_or(NOT prop) OVER (PARTITION BY query_id, key) AS twin FROM k)
 SELECT query_id, rk::INTEGER AS rk, row_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, row_id) AS rk FROM d WHERE NOT (prop AND twin)) WHERE rk <= 30""")
 def search_results(t: Tables):
     """The whole search: tiers, demotion, twins, top 30."""

@@ -162,7 +162,7 @@ def test_search_rules(spark):
     for r in se.search(q, names).collect():
         got.setdefault(r.query_id, []).append((r.rk, r.row_id, float(r.score)))
     got = {k: [(i, s) for _, i, s in sorted(v)] for k, v in got.items()}
-    assert got[1][0] == (1, 4 + 2 + 3 + 1 if False else got[1][0][1]) and 3 not in [i for i, _ in got[1]]
+    assert got[1][0] == (1, 3 + 1 + 2 + 1) and 3 not in [i for i, _ in got[1]]
     assert got[2][0][0] == 2  # the place before the road of its name
     assert got[3][0][0] == 4 and got[4][0] == (5, 10.0) and got[5] == [(5, 0.5)] and 6 not in got
     assert [i for i, _ in got[7]] == [1] and got[8] == [(6, 4.5)]
@@ -173,6 +173,37 @@ def test_search_rules(spark):
     assert [(r.number, r.exact) for r in se.address_hits(p, scores, numbers).orderBy("query_id").collect()] == [("12A", False), ("12A", True)]
 
 
+def test_search_with_streets_and_addresses(spark):
+    names = spark.createDataFrame(
+        [(1, "Elizabeth Street", "Hobart", "road"), (2, "Salamanca", "Hobart", "property"), (3, "Old Salamancas", "Hobart", "place"), (4, "Pier Road", "Sorell", "property")],
+        "row_id long, name string, context string, kind string",
+    )
+    streets = spark.createDataFrame([(1, "Elizabeth Street", "Hobart"), (2, "Elizabeth Street", "North Hobart"), (3, "Pier Road", "Sorell")], "row_id long, name string, context string")
+    numbers = spark.createDataFrame([(1, 0, "10", 147.1, -42.1), (1, 1, "14", 147.2, -42.2), (2, 0, "12", 147.3, -42.3), (3, 0, "2", 147.4, -42.4), (3, 1, "4", 147.5, -42.6)], "row_id long, pos int, number string, x double, y double")
+    q = spark.createDataFrame([(1, "elizabeth st"), (2, "elizabeth st north hobart"), (3, "12 elizabeth st"), (4, "pier road"), (5, "salamanca")], "query_id long, text string")
+    got = {}
+    for r in se.search(q, names, streets=streets, numbers=numbers).orderBy("query_id", "rk").collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert [(r.source, r.row_id) for r in got[1]] == [("entry", 1)]  # the register's road; no twin, no other suburb
+    assert [(r.source, r.row_id, r.meta) for r in got[2]] == [("street", 2, "Road · North Hobart")]
+    # 3 + 1 + 2 for the words, 4 for the number, and 1 for an exact one or 2 / 100 less
+    assert [(r.source, r.name, r.meta, float(r.score)) for r in got[3]] == [
+        ("address", "12 Elizabeth Street", "Address · North Hobart", 11.0),
+                ("address", "12 Elizabeth Street", "Address · Hobart · nearest: 10", 9.98),
+        ("entry", "Elizabeth Street", None, 7.0),
+    ]
+    # a street is official and shown: its twin among the properties goes
+    assert [(r.source, r.row_id, tuple(r.bounds)) for r in got[4]] == [("street", 3, (147.4, -42.6, 147.5, -42.4))]
+    # "Old Salamancas" is hit by prefix and official, so the property is 2 lower
+    assert [(r.row_id, float(r.score)) for r in got[5]] == [(2, 3 + 1 + 1 - 0.5 - 2), (3, 2.0)]
+
+
+def test_a_substring_is_not_official(spark):
+    names = spark.createDataFrame([(1, "Wells", "Hobart", "property"), (2, "Maxwells Hill", "Hobart", "place")], "row_id long, name string, context string, kind string")
+    q = spark.createDataFrame([(1, "wells")], "query_id long, text string")
+    assert [(r.row_id, float(r.score)) for r in se.search(q, names).orderBy("rk").collect()] == [(1, 4.5), (2, 0.5)]
+
+
 def test_runs_round_trip(spark):
     df = spark.createDataFrame([("a", i, lv) for i, lv in ((1, 2), (2, 2), (4, 2), (5, 1), (6, 1))], "code string, i long, level int")
     r = run.runs(df, "code", "i", "level")
