@@ -7,15 +7,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.functions.text import epithet_key, gender_stem
+
+#: Endings that one word of each gender has, by declension.
+DECLENSIONS = {"U": ("us", "um", "a"), "I": ("is", "e"), "R": ("er", "ra", "rum"), "S": ("er", "ris", "re")}
 
 
 def spelling_keys(epithet: Column) -> Column:
-    """Keys under which spelling variants of an epithet meet: ae/e, y/i, double letters, gender endings."""
-    e = F.lower(epithet)
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(e, "ae|oe", "e"), "y", "i"), "ph", "f")
-    single = F.regexp_replace(F.regexp_replace(plain, "-", ""), r"(.)\1", "$1")
-    return F.array_distinct(F.array(e, epithet_key(e), plain, single, gender_stem(single)))
+    """Keys under which spellings of an epithet meet: without hyphens and diaereses, with one i or
+    two in -i and -ae, and by stem and declension where more than two letters come before the ending."""
+    e = F.translate(F.lower(epithet), "ëï-", "ei")
+    other = F.when(e.rlike("ii$|iae$"), F.regexp_replace(e, "i(i|ae)$", "$1")).when(e.rlike("i$|ae$"), F.regexp_replace(e, "(i|ae)$", "i$1"))
+    bases = F.array_compact(F.array(e, other))
+
+    def stem(ending: str, kind: str) -> Column:
+        bare = lambda w: F.left(w, F.length(w) - len(ending))
+        return F.transform(bases, lambda w: F.when(w.endswith(ending) & (F.length(w) > len(ending) + 2), F.concat(bare(w), F.lit(f"|{kind}"))))
+
+    stems = [stem(ending, kind) for kind, endings in DECLENSIONS.items() for ending in endings]
+    return F.array_distinct(F.array_compact(F.concat(bases, *stems)))
 
 
 def candidates(names: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -33,6 +42,15 @@ def decided(names: DataFrame, cands: DataFrame, by_hand: DataFrame) -> DataFrame
     return j.select("name", F.when(relation == "hand", F.col("hand")).when(relation == "exact", F.col("exact")).when(relation == "variant", F.col("one")).alias("target"), relation.alias("relation"))
 
 
+def owned_elsewhere(cands: DataFrame, accepted: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Adds others: the accepted names, but for the candidate's own, that bear the target as their
+    name or as a synonym; sorted, empty for none. cands: name, target; accepted: name; synonyms: name, accepted."""
+    bearers = accepted.select(F.col("name").alias("target"), F.col("name").alias("_owner")).unionByName(synonyms.select(F.col("name").alias("target"), F.col("accepted").alias("_owner")))
+    pairs = cands.select("name", "target").distinct().join(bearers.distinct(), "target").where("_owner <> name")
+    others = pairs.groupBy("name", "target").agg(F.sort_array(F.collect_set("_owner")).alias("others"))
+    return cands.join(others, ["name", "target"], "left").withColumn("others", F.coalesce("others", F.array().cast("array<string>")))
+
+
 def accepted_table(taxa: DataFrame) -> DataFrame:
     """accepted id, name and its synonyms, out of a flat taxonomy (id, name, accepted_id or null)."""
     syn = taxa.where("accepted_id is not null and accepted_id <> id").groupBy("accepted_id").agg(F.sort_array(F.collect_list("name")).alias("synonyms"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.vector import dot
+from loam.functions.vector import dot, unit
 
 from . import lineage
 
@@ -211,6 +211,17 @@ def kmeans_bank(rows: DataFrame, quota: str, seed: int = 1, rounds: int = 20) ->
     return rows.groupBy("cls").applyInPandas(run, f"cls {dict(rows.dtypes)['cls']}, i int, v array<double>, n long")
 
 
+def nearest_to_mean(rows: DataFrame, k: int) -> DataFrame:
+    """id, cls, near, cos: the k rows of each class most like its mean direction, near counting
+    from 0, ties to the lowest id. rows: id, cls, v. Each task ranks its own rows of a class before
+    they move, so that a class of any size sends k rows a task at most."""
+    units = rows.select("id", "cls", unit(F.col("v")).alias("v"))
+    means = prototypes(units, 0.0, units.limit(0)).select("cls", F.col("v").alias("_m"))
+    like = units.join(means, "cls").select("id", "cls", dot(F.col("v"), F.col("_m")).alias("cos"))
+    ranked = like.withColumn("near", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cos"), "id")))
+    return ranked.where(F.col("near") <= k).select("id", "cls", (F.col("near") - 1).alias("near"), "cos")
+
+
 def farthest_first(rows: DataFrame) -> DataFrame:
     """Adds pos: from the row nearest the class mean on, always the one farthest from those before. rows: id, cls, v."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

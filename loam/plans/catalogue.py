@@ -115,11 +115,27 @@ def alias_map(t: Tables):
     return cat.alias_map(c, "aliases", "p_partkey")
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT p_name AS t, split_part(p_name, ' ', 2) AS w FROM part), c AS (SELECT t, w, row_number() OVER (ORDER BY t) AS i,
+  CASE w WHEN 'plate' THEN left(t, -1) || 'is' WHEN 'ring' THEN left(t, -1) || '-g' WHEN 'bolt' THEN t || 'us' WHEN 'rod' THEN t || 'x' ELSE t END AS name FROM n)
+SELECT name, CASE WHEN i = 1 THEN 'by hand' WHEN w NOT IN ('bolt', 'rod') THEN t END AS target, CASE WHEN i = 1 THEN 'hand' WHEN w IN ('plate', 'ring') THEN 'variant' WHEN w = 'bolt' THEN 'ambiguous' WHEN w = 'rod' THEN 'none' ELSE 'exact' END AS relation FROM c""")
 def name_resolution(t: Tables):
-    """Names with one changed ending against the names themselves."""
+    """Names with another gender's ending, a hyphen, an ending that two accepted names share, and no accepted name."""
     n = t.part.select(F.col("p_name").alias("name")).distinct()
-    changed = n.select(F.regexp_replace("name", "([a-z])$", "$1$1").alias("name"))
-    c = nm.candidates(changed, n)
-    hand = n.orderBy("name").limit(1).select(F.regexp_replace("name", "([a-z])$", "$1$1").alias("name"), F.lit("by hand").alias("target"))
-    return nm.decided(changed, c, hand)
+    name = F.col("name")
+    changed = n.select(
+        F.when(name.endswith("plate"), F.regexp_replace(name, "e$", "is")).when(name.endswith("ring"), F.regexp_replace(name, "g$", "-g"))
+        .when(name.endswith("bolt"), F.concat(name, F.lit("us"))).when(name.endswith("rod"), F.concat(name, F.lit("x"))).otherwise(name).alias("name")
+    )
+    more = n.where(name.endswith("bolt")).select(F.explode(F.array(F.concat(name, F.lit("a")), F.concat(name, F.lit("um")))).alias("name"))
+    hand = n.orderBy("name").limit(1).select("name", F.lit("by hand").alias("target"))
+    return nm.decided(changed, nm.candidates(changed, n.unionByName(more)), hand)
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS g, split_part(p_name, ' ', 2) AS w FROM part), s AS (SELECT name AS accepted, 'old ' || w AS target FROM n WHERE g < 'm'),
+c AS (SELECT name, 'old ' || w AS target FROM n), b AS (SELECT name AS owner, name AS target FROM n UNION SELECT accepted, target FROM s)
+SELECT c.name, c.target, coalesce(string_agg(owner, ',' ORDER BY owner), '') AS others FROM c LEFT JOIN b ON c.target = b.target AND owner <> c.name GROUP BY ALL""")
+def owned_elsewhere(t: Tables):
+    n = t.part.select(F.col("p_name").alias("name")).distinct()
+    old = F.concat(F.lit("old "), F.substring_index("name", " ", -1))
+    synonyms = n.where(F.substring_index("name", " ", 1) < "m").select(old.alias("name"), F.col("name").alias("accepted"))
+    return nm.owned_elsewhere(n.select("name", old.alias("target")), n, synonyms).withColumn("others", F.array_join("others", ","))

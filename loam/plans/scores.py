@@ -218,6 +218,15 @@ def kmeans_banks(t: Tables):
     return sc.kmeans_bank(e.join(n, "cls"), "k").select("cls", "i", "n")
 
 
+@query("""WITH e AS (SELECT vec_id AS id, label AS cls, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+s AS (SELECT cls, i, sum(x) AS x FROM (SELECT cls, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e) GROUP BY ALL), m AS (SELECT cls, list(x ORDER BY i) AS m FROM s GROUP BY cls),
+c AS (SELECT id, e.cls, list_dot_product(v, m) / sqrt(list_dot_product(m, m)) AS cos FROM e JOIN m ON e.cls = m.cls)
+SELECT id, cls, (rn - 1)::INTEGER AS near, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY cos DESC, id) AS rn FROM c) WHERE rn <= 20""")
+def nearest_to_mean(t: Tables):
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("cls"), F.col("embedding").alias("v"))
+    return sc.nearest_to_mean(rows, 20).withColumn("cos", F.round("cos", 6))
+
+
 @query("""WITH RECURSIVE e AS (SELECT vec_id AS id, label AS cls, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
 s AS (SELECT a.cls, a.id, a.i, list(list_dot_product(a.v, b.v) ORDER BY b.i) AS s FROM e a JOIN e b ON a.cls = b.cls GROUP BY ALL),
 o AS (SELECT cls, i, row_number() OVER (PARTITION BY cls ORDER BY list_sum(s) DESC, i) AS rn FROM s),

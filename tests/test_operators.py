@@ -123,11 +123,14 @@ def test_risk_cap_and_descent(spark):
 
 
 def test_names_and_claims(spark):
-    accepted = spark.createDataFrame([("Acacia sylvatica",), ("Acacia alba",), ("Poa rosea",)], "name string")
-    names = spark.createDataFrame([("Acacia silvaticus",), ("Acacia alba",), ("Poa nova",), ("Poa manual",)], "name string")
+    accepted = spark.createDataFrame([("Acacia sylvatica",), ("Acacia alba",), ("Poa rosea",), ("Poa brownii",), ("Poa smithiae",), ("Poa tasmanica",)], "name string")
+    names = spark.createDataFrame([("Acacia sylvaticus",), ("Poa browni",), ("Poa smithae",), ("Poa tasmanensis",), ("Acacia alba",), ("Poa nova",), ("Poa manual",)], "name string")
     hand = spark.createDataFrame([("Poa manual", "Poa rosea")], "name string, target string")
     got = {r.name: (r.target, r.relation) for r in nm.decided(names, nm.candidates(names, accepted), hand).collect()}
-    assert got == {"Acacia silvaticus": ("Acacia sylvatica", "variant"), "Acacia alba": ("Acacia alba", "exact"), "Poa nova": (None, "none"), "Poa manual": ("Poa rosea", "hand")}
+    assert got == {
+        "Acacia sylvaticus": ("Acacia sylvatica", "variant"), "Poa browni": ("Poa brownii", "variant"), "Poa smithae": ("Poa smithiae", "variant"), "Poa tasmanensis": (None, "none"),
+        "Acacia alba": ("Acacia alba", "exact"), "Poa nova": (None, "none"), "Poa manual": ("Poa rosea", "hand"),
+    }
     taxa = spark.createDataFrame([(1, "A b", None), (2, "A c", 1), (3, "A d", 1), (4, "E f", 4)], "id long, name string, accepted_id long")
     assert rows(nm.accepted_table(taxa), "id") == [(1, "A b", ["A c", "A d"]), (4, "E f", [])]
     swaps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "old string, new string")
