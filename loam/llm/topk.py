@@ -25,8 +25,8 @@ from .common import Scratch, column
 #: Rows of an index block and of a query block at most; query blocks are cut smaller (down to
 #: LEAST_ROWS) until there are TASKS pairs of blocks; pairs of rows scored at once.
 BLOCK_ROWS, QUERY_ROWS, LEAST_ROWS, TASKS, SCORED_AT_ONCE = 32768, 8192, 128, 16, 1 << 21
-#: Impacts from these up make a level; what lies below the last counts as unseen.
-LEVELS = (32, 16, 8, 4, 2, 1)
+#: Impacts from these up, in units of a block's root mean square, make a level; what lies below the last counts as unseen.
+LEVELS = (1.0, 0.5, 0.25, 0.125)
 _EXACT_IN_FLOAT64 = float(1 << 53)
 
 
@@ -59,7 +59,8 @@ def _packed(kind: str):
         segments = []
         if kind == "index":  # a posting is its place among the block's components; the value stands there
             size, above = np.abs(m.astype(np.int64)).ravel(), math.inf
-            for level in LEVELS:
+            root = math.sqrt(float((size.astype(np.float64) ** 2).mean())) if size.size else 0.0
+            for level in (max(1.0, share * root) for share in LEVELS):
                 segments.append(np.flatnonzero((size >= level) & (size < above)).astype(np.int32).tobytes())
                 above = level
         cols = {"block": [key[0].as_py()], "ids": [ids.tobytes()], "dims": [m.shape[1]], "width": [m.dtype.itemsize], "rows": [m.tobytes()]}
@@ -79,8 +80,9 @@ def _unpack(r: dict, p: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(r[p + "rows"], kind).reshape(len(ids), r[p + "dims"]).astype(np.int64)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, segments: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one block for each query: query_id, vec_id, score. Exact."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, segments: list[np.ndarray], k: int, trace: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of one block for each query: query_id, vec_id, score. Exact. trace gets the
+    number of segments that each group of queries processed."""
     dims = max(q.shape[1], m.shape[1])
     places = [np.divmod(s, max(1, m.shape[1])) for s in segments]
     q, m = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (q, m))
@@ -104,15 +106,18 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarra
             score[x, y] = -np.inf
         open_ = np.ones(score.shape, bool)
         if exact and len(m) > k + 1:
+            n = 0
             for n, (part, unseen) in enumerate(parts):
                 score += qf @ part
-                if n + 1 < len(parts) and part.shape[0] and LEVELS[n] > 4:
-                    continue  # a bound this loose settles nothing
+                if n == 0 and len(parts) > 1:
+                    continue  # the bound of the first level alone is too loose to settle much
                 slack = length[:, None] * unseen[None, :] * (1 + 1e-6)
                 low = np.partition(score - slack, len(m) - k, axis=1)[:, len(m) - k]
                 open_ = score + slack >= low[:, None]  # proof: the others cannot reach the k best
                 if n + 1 < len(parts) and open_.sum() <= 8 * k * len(qs):
                     break
+            if trace is not None:
+                trace.append(n + 1)
         for x, y in mine:
             open_[x, y] = False
         r, c = np.nonzero(open_)

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loam.llm import topk
@@ -45,3 +46,37 @@ def test_few_rows_unequal_lengths_and_large_values(spark):
     assert found(spark.createDataFrame(rows, SCHEMA), 20, 10) == brute(padded, 20, 10)
     assert found(spark.createDataFrame(rows[:1], SCHEMA), 20, 10) == []
     assert found(spark.createDataFrame([], SCHEMA), 20, 10) == []
+
+
+def packed(m):
+    """The segments of one index block."""
+    t = pa.table({"vec_id": pa.array(range(len(m)), pa.int64()), "v": pa.array(m.tolist(), pa.list_(pa.int64()))})
+    block = topk._packed("index")((pa.scalar(0),), t).to_pylist()[0]
+    return [np.frombuffer(x, np.int32) for x in block["segments"]]
+
+
+def test_segments_hold_each_posting_once_by_descending_impact():
+    m = np.random.default_rng(3).integers(-40, 40, (50, 8))
+    segments = packed(m)
+    seen = np.concatenate(segments)
+    assert len(set(seen.tolist())) == len(seen)
+    sizes = [np.abs(m).ravel()[x] for x in segments]
+    assert all(a.min() > b.max() for a, b in zip(sizes, sizes[1:]) if len(a) and len(b))
+    unseen = np.setdiff1d(np.arange(m.size), seen)
+    assert np.abs(m).ravel()[unseen].max(initial=0) < max(1, np.sqrt((m**2.0).mean()) / 8)
+
+
+def test_stops_on_proof_and_stays_exact():
+    rng = np.random.default_rng(4)
+    m = np.rint(rng.normal(0, 8, (3000, 32))).astype(np.int64)
+    m[:40] *= 6  # long vectors, which hold the best scores
+    q, q_ids = m[100:140], np.arange(100, 140)
+    trace: list[int] = []
+    got = topk.search_block(q_ids, q, np.arange(len(m)), m, packed(m), 5, trace)
+    assert trace and max(trace) < len(topk.LEVELS)
+    score = q @ m.T
+    want = []
+    for n, i in enumerate(q_ids):
+        order = sorted((-int(x), j) for j, x in enumerate(score[n]) if j != i)[:5]
+        want += [(int(i), j, -x) for x, j in order]
+    assert [tuple(map(int, r)) for r in zip(*got)] == want
