@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import catalogue, grids, planning, relations, scores, searches, texts  # noqa: F401
+    from . import catalogue, grids, pieces, planning, relations, scores, searches, texts  # noqa: F401
     from .registry import QUERIES, SQL
 
     return QUERIES, SQL
