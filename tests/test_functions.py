@@ -78,8 +78,9 @@ def test_names(spark):
     assert len(one(spark, tx.first_sentences, "Some words here. " * 40)) <= 300
     runs = one(spark, nm.botanical_runs, "Acacia dealbata subsp. alpina Tindale 'Gold Dust' (syn. x)")
     assert [r.text for r in runs if r.italic] == ["Acacia dealbata", "alpina"]
-    keys = [set(one(spark, nm.spelling_keys, e)) for e in ("sylvaticus", "silvatica")]
-    assert keys[0] & keys[1]
+    keys = [set(one(spark, nm.spelling_keys, e)) for e in ("sylvaticus", "sylvatica", "silvatica", "brownii", "browni", "d-alba", "dalbum")]
+    assert keys[0] & keys[1] and keys[3] & keys[4] and keys[5] & keys[6]
+    assert not keys[1] & keys[2]  # a y is no i: other lists tell such names apart
     states = one(spark, nm.qualified_states, "Tas (native and naturalised), Vic, NSW (doubtful, old)")
     assert [(s.state, s.note) for s in states] == [("Tas", "native and naturalised"), ("Vic", None), ("NSW", "doubtful, old")]
 
