@@ -306,16 +306,34 @@ def latin1(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf(T.StringType())
-def first_sentences(s: pd.Series) -> pd.Series:
-    """At most some 300 characters, cut at the end of a sentence."""
-    def one(t: str | None) -> str | None:
-        if t is None or len(t) <= 300:
-            return t
-        cut = max(t.rfind(e, 0, 300) for e in (". ", "! ", "? "))
-        return t[: cut + 1] if cut > 0 else t[:300].rsplit(" ", 1)[0]
-
-    return s.map(one)
+#: What a sentence on growing the plant says, and what shows that it is about the wild after all.
+_GROWING = (
+    r"(?i)propagat\w*|(?<!road )\bcuttings?\b|(?<!self-)\bsow(n|s|ing)?\b|germinat\w*|potting|\bpots?\b|\brepot\w*"
+    r"|\bwater(ing|ed)\b|\b(plenty of|ample|abundant|regular|extra|supplementary|summer) water"
+    r"|\bwater (regularly|must)|saucer of water|standing in water|capillary (watering|matting|beds?)"
+    r"|fertili[sz]\w*|(?<!wind-)(?<!wind )\bprun(e|ed|es|ing)\b|tip-prun\w*|seed raising"
+)
+_WILD = r"(?i)after fire|relies on birds|dispersed by"
+#: Most characters of a description.
+DESCRIBED = 300
+
+
+def description(c: Column) -> Column:
+    """The text without its sentences on growing the plant; a longer one than DESCRIBED ends with a whole
+    sentence and an ellipsis, or within its first sentence after a word. Null if nothing is left."""
+    kept = F.filter(F.split(c, r"(?<=[.!?])\s+(?=[A-Z(])"), lambda x: ~x.rlike(_GROWING) | x.rlike(_WILD))
+    whole = F.array_join(kept, " ")
+    stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+
+    def more(at: Column, x: Column) -> Column:
+        full = at["full"] | (F.length(at["text"]) + F.length(x) + 1 > DESCRIBED - 2)
+        return F.struct(F.when(full, at["text"]).otherwise(stripped(F.concat_ws(" ", at["text"], x))).alias("text"), full.alias("full"))
+
+    some = F.aggregate(kept, F.struct(F.lit("").alias("text"), F.lit(False).alias("full")), more, lambda at: at["text"])
+    head = F.left(whole, F.lit(DESCRIBED - 1))
+    words_ = F.when(F.contains(head, F.lit(" ")), F.regexp_extract(head, "(?s)^(.*) ", 1)).otherwise(head)
+    cut = F.when(some != "", F.concat(some, F.lit(" …"))).otherwise(F.concat(F.regexp_replace(words_, "[,;:]+$", ""), F.lit("…")))
+    return F.nullif(F.when(F.length(whole) > DESCRIBED, cut).otherwise(whole), F.lit(""))
 
 
 _BINOMIAL = re.compile(r"\b([A-Z][a-z]+|[A-Z]\.)\s+([a-z][a-z-]{2,})\b")

@@ -317,3 +317,13 @@ def shifted_glyphs(t: Tables):
 def stable_order(t: Tables):
     """Score descending, then index."""
     return t.orders.select(F.col("o_custkey").alias("cls"), F.col("o_orderkey").alias("id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rk"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, 'Shrub number ' || c_custkey || ' flowers.' AS s, c_custkey % 25 + 1 AS n FROM customer)
+SELECT id, CASE WHEN id % 4 = 3 THEN repeat('word, ', 48) || 'word…' WHEN n * (length(s) + 1) - 1 > 300 THEN repeat(s || ' ', 299 // (length(s) + 1)) || '…' ELSE trim(repeat(s || ' ', n)) END AS text FROM c""")
+def descriptions(t: Tables):
+    k = F.col("c_custkey")
+    sentences = F.array_join(F.array_repeat(F.concat(F.lit("Shrub number "), k, F.lit(" flowers.")), (k % 25 + 1).cast("int")), " ")
+    growing = F.when(k % 3 == 0, "Sow seed in pots. ").otherwise("")
+    text = F.when(k % 4 == 3, F.concat(F.repeat(F.lit("word, "), 60), F.lit("end"))).otherwise(F.concat(growing, sentences))
+    return t.customer.select(k.alias("id"), tx.description(text).alias("text"))

@@ -75,7 +75,10 @@ def test_names(spark):
     assert stems[0] == stems[1] and stems[2] == stems[3] and stems[4] == stems[5] and stems[7] == stems[8] and len(set(stems)) == 5
     assert one(spark, tx.epithet_key, "smithii") == one(spark, tx.epithet_key, "smithi") and one(spark, tx.epithet_key, "annae") == one(spark, tx.epithet_key, "anniae")
     assert one(spark, tx.paragraphs, "a line\nwrapped here\n\n- item one\nand more\nShort end.\nnext") == ["a line wrapped here", "- item one and more Short end.", "next"]
-    assert len(one(spark, tx.first_sentences, "Some words here. " * 40)) <= 300
+    assert one(spark, tx.description, ("Some words here. " * 40).strip()) == ("Some words here. " * 17).strip() + " …"
+    assert one(spark, tx.description, "A shrub. Sow seed in pots. Germinates after fire. Prune hard! (Wind-pruned on coasts.) Found in road cuttings.") == "A shrub. Germinates after fire. (Wind-pruned on coasts.) Found in road cuttings."
+    assert one(spark, tx.description, "Propagate from cuttings.") is None and one(spark, tx.description, "") is None
+    assert one(spark, tx.description, "x" * 400) == "x" * 299 + "…"
     runs = one(spark, nm.botanical_runs, "Acacia dealbata subsp. alpina Tindale 'Gold Dust' (syn. x)")
     assert [r.text for r in runs if r.italic] == ["Acacia dealbata", "alpina"]
     keys = [set(one(spark, nm.spelling_keys, e)) for e in ("sylvaticus", "sylvatica", "silvatica", "brownii", "browni", "d-alba", "dalbum")]
