@@ -14,7 +14,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each round joins every node to that neighbour (or itself) which comes first in
     a fresh pseudo-random order, then contracts the edges. A constant share of the
     nodes goes in each round whatever the shape of the graph, hubs cost a partial
-    aggregate and a join that can be split, and each round is a written table."""
+    aggregate and a join that can be split, and each round is a written table.
+
+    The tables grow with the graph, so that no join may broadcast them; the rounds' maps
+    are put together from the last, which is the smallest."""
     spark = edges.sparkSession
     left, path = scratch.write(edges.select("a", "b").where("a <> b").distinct())
     maps = []
@@ -29,11 +32,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         maps.append(to := scratch.keep(to))
         x, y = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
         old = path
-        left, path = scratch.write(left.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left, path = scratch.write(left.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         scratch.drop(old)
     if not maps:
         return spark.createDataFrame([], "node long, root long")
-    out = maps[0].select("node", F.col("to").alias("root"))
-    for m in maps[1:]:
-        out = out.join(m.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    out = maps[-1].select("node", F.col("to").alias("root"))
+    for m in reversed(maps[:-1]):
+        out = m.join(out.select(F.col("node").alias("to"), "root").hint("merge"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     return out

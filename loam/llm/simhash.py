@@ -220,7 +220,7 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     chunks = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     rows = (
-        keys.join(shared, "key")
+        keys.join(shared.hint("merge"), "key")
         .withColumn("s", chunks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
@@ -235,10 +235,11 @@ def _labelled(docs: DataFrame) -> DataFrame:
     prints, _ = scratch.write(fingerprints(docs))
     nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(scratch.keep(link_fingerprints(nodes)), scratch).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    # these tables grow with the documents: none is broadcast
+    rooted = nodes.join(roots.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
-    return prints.join(labels, "fp")
+    labels = rooted.select("fp", "root").join(named.hint("merge"), "root").select("fp", "root", "component_id")
+    return prints.join(labels.hint("merge"), "fp")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:

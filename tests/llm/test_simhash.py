@@ -108,3 +108,12 @@ def test_long_texts_in_parts():
     rng = random.Random(9)
     text = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(70_000))
     assert s.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
+def test_no_table_that_grows_is_broadcast(spark, edge, monkeypatch):
+    plans, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df: plans.append(df) or write(self, df))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    plans.append(s.simhash_groups(edge))
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
