@@ -194,31 +194,32 @@ def _roots(docs: DataFrame, scratch: Scratch, prints: DataFrame) -> DataFrame:
 
     In each bucket all texts are first compared with two of them, so that a large group of
     near copies takes no square of comparisons; what is then in one bucket but not yet in
-    one component is compared all with all, in blocks."""
+    one component is compared all with all, in blocks. All tables here grow with the documents:
+    none is broadcast, whatever its estimated size."""
     one = scratch.keep(prints.groupBy("th").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     nodes = scratch.keep(one.groupBy("fp").agg(F.min("th").alias("first")))
     near = link_fingerprints(nodes)
     a, b = nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    alike = near.join(a, "a").join(b, "b").select("x", "y").unionByName(one.join(nodes, "fp").where("th <> first").select(F.col("first").alias("x"), F.col("th").alias("y")))
+    alike = near.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("x", "y").unionByName(one.join(nodes.hint("merge"), "fp").where("th <> first").select(F.col("first").alias("x"), F.col("th").alias("y")))
     keys = one.select("th", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low < high")
-    members = scratch.keep(keys.join(shared, "key"))
+    members = scratch.keep(keys.join(shared.hint("merge"), "key"))
     ends = members.select("th", F.explode(F.array("low", "high")).alias("end")).where("th <> end")
     first = alike.select(F.col("x").alias("th"), F.col("y").alias("end")).unionByName(ends)
     first = scratch.keep(first.select(F.least("th", "end").alias("a"), F.greatest("th", "end").alias("b")).distinct())
     needed = first.select(F.explode(F.array("a", "b")).alias("th")).distinct()
     texts = docs.select(F.xxhash64(docs["text"].cast("string")).alias("th"), docs["text"].cast("string").alias("text"))
-    sets = scratch.keep(texts.join(needed, "th", "left_semi").dropDuplicates(["th"]).mapInArrow(_sets, "th long, n long, set binary"))
+    sets = scratch.keep(texts.join(needed.hint("merge"), "th", "left_semi").dropDuplicates(["th"]).mapInArrow(_sets, "th long, n long, set binary"))
     x, y = sets.select(F.col("th").alias("a"), F.col("set").alias("x"), F.col("n").alias("na")), sets.select(F.col("th").alias("b"), F.col("set").alias("y"), F.col("n").alias("nb"))
     fit = F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY
-    links = scratch.keep(first.join(x, "a").join(y, "b").where(fit).select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean").where("ok").select("a", "b"))
+    links = scratch.keep(first.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(fit).select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean").where("ok").select("a", "b"))
     roots = scratch.keep(components(links, scratch)).withColumnRenamed("node", "th")
-    placed = members.join(roots, "th", "left").select("key", "th", F.coalesce("root", "th").alias("root"))
+    placed = members.join(roots.hint("merge"), "th", "left").select("key", "th", F.coalesce("root", "th").alias("root"))
     several = placed.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l < h").select("key")
-    placed = scratch.keep(placed.join(several, "key").join(sets.select("th", "n"), "th"))
+    placed = scratch.keep(placed.join(several.hint("merge"), "key").join(sets.select("th", "n").hint("merge"), "th"))
     blocks = scratch.keep(placed.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("s")))  # a table, so that the join can split a large bucket
-    dealt = placed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("th"), F.col("s")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "root").join(sets.select("th", "set"), "th").join(one.select("th", "keys"), "th")
+    dealt = placed.join(blocks.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("th"), F.col("s")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "root").join(sets.select("th", "set").hint("merge"), "th").join(one.select("th", "keys").hint("merge"), "th")
     more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "th").select("key", "i", "j", "own", "th", "root", "set", "keys").mapInArrow(_blocks, "a long, b long")
     return components(scratch.keep(links.unionByName(more)), scratch)
 
@@ -238,7 +239,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     prints = scratch.keep(rows.mapInArrow(_prints, "doc_id long, th long, fp long, keys array<long>"))
     roots = _roots(docs, scratch, prints).withColumnRenamed("node", "th")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")
-    best = prints.groupBy("th").agg(F.min(rank).alias("k")).join(roots, "th", "left").groupBy(F.coalesce("root", "th").alias("root")).agg(F.min("k").alias("k"))
+    best = prints.groupBy("th").agg(F.min(rank).alias("k")).join(roots.hint("merge"), "th", "left").groupBy(F.coalesce("root", "th").alias("root")).agg(F.min("k").alias("k"))
     # joined and grouped by the same columns, none of them null: the texts move once
     row = F.struct(*docs.columns)
     doc = docs["doc_id"].cast("long")

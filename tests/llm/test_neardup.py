@@ -108,3 +108,11 @@ def test_edges_of_near_dedup(edge, none):
     assert m.near_dedup(none).count() == 0
     assert {4, 7, 8, 9, 10, 11} <= {r.doc_id for r in got} and not {5, 6} & {r.doc_id for r in got}
     assert sum(not (r.text or "").strip() for r in got) == 1
+
+
+def test_no_table_that_grows_is_broadcast(spark, edge, monkeypatch):
+    plans, write = [], m.Scratch.write
+    monkeypatch.setattr(m.Scratch, "write", lambda self, df: plans.append(df) or write(self, df))
+    plans.append(m.near_dedup(edge))
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert sum("SortMergeJoin" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
