@@ -86,11 +86,15 @@ def archive_directory(tiles: DataFrame) -> DataFrame:
     return run.groupBy("_slab", "_run", "digest").agg(F.min("tile_id").alias("tile_id"), F.count(F.lit(1)).alias("run_length")).select("tile_id", "run_length", "digest")
 
 
+#: Ids of a block of tile_lookup: so many runs meet one wanted id at most.
+LOOKUP_BLOCK = 32
+
+
 def tile_lookup(directory: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest of wanted tile ids: runs keyed by slab, then the exact range."""
-    slab = F.expr("tile_id div 1048576").alias("_slab")
-    d = directory.select("tile_id", "run_length", "digest", slab).select(F.col("tile_id").alias("_first"), "run_length", "digest", "_slab")
-    return wanted.select("tile_id", slab).join(d, "_slab").where((F.col("tile_id") >= F.col("_first")) & (F.col("tile_id") < F.col("_first") + F.col("run_length"))).select("tile_id", "digest")
+    """digest of wanted tile ids: runs keyed by each block of ids that they reach into, then the exact range."""
+    reach = F.sequence(F.expr(f"tile_id div {LOOKUP_BLOCK}"), F.expr(f"(tile_id + run_length - 1) div {LOOKUP_BLOCK}"))
+    d = directory.where("run_length > 0").select(F.col("tile_id").alias("_first"), "run_length", "digest", F.explode(reach).alias("_block"))
+    return wanted.select("tile_id", F.expr(f"tile_id div {LOOKUP_BLOCK}").alias("_block")).join(d, "_block").where((F.col("tile_id") >= F.col("_first")) & (F.col("tile_id") < F.col("_first") + F.col("run_length"))).select("tile_id", "digest")
 
 
 def union_footprint(cells: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from loam.operators import dedup as dd
 from loam.operators import graph
 from loam.operators import metrics as met
 from loam.operators import names as nm
+from loam.operators import raster as ras
 from loam.operators import relational as rel
 from loam.operators import runs as run
 from loam.operators import sampling as smp
@@ -79,6 +80,10 @@ def test_radius_join_against_all_pairs(spark):
     assert sp.none_within(df, right, 1.0).count() == 0
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_components_and_merges(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101)], "a long, b long")
     got = dict(rows(graph.connected_components(e), "node"))
@@ -213,3 +218,12 @@ def test_runs_round_trip(spark):
     assert sorted((x.start, x.length, x.level) for x in r.collect()) == [(1, 2, 2), (4, 1, 2), (5, 2, 1)]
     assert sorted((x["index"], x.level) for x in run.unrun(r).collect()) == [(1, 2), (2, 2), (4, 2), (5, 1), (6, 1)]
     assert smp.quota_scale([(100, 3), (4, 10)], 60) > 0
+
+
+def test_tile_lookup_meets_only_runs_of_its_block(spark):
+    runs = [(5, 1, "a"), (6, 70, "b"), (1048570, 20, "c"), (3000000, 1, "d")]
+    directory = spark.createDataFrame(runs, "tile_id long, run_length long, digest string")
+    ids = [4, 5, 5, 6, 75, 76, 1048569, 1048575, 1048576, 1048589, 1048590, 3000000]
+    got = ras.tile_lookup(directory, spark.createDataFrame([(i,) for i in ids], "tile_id long"))
+    assert sorted((r.tile_id, r.digest) for r in got.collect()) == [(i, d) for i in ids for f, n, d in runs if f <= i < f + n]
+    assert "div 1048576" not in optimized(got)
