@@ -69,11 +69,14 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, step: float) -> Dat
     """id and the lowest poly whose interior (even-odd) or edge holds the point. points: id, x, y.
 
     Polygons cover cells of their boxes; candidates are tested by ray casting inside each row,
-    over the rings, so that edges do not multiply in the join."""
+    over the rings, so that edges do not multiply in the join. Of polygons with the same rings the
+    lowest is taken, and points with the same place are tested once."""
+    polygons = polygons.groupBy("rings").agg(F.min("poly").alias("poly"))
+    places = points.select("x", "y").distinct()
     xs, ys = F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p.x))), F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p.y)))
     boxed = polygons.withColumns({"_w": F.array_min(xs), "_e": F.array_max(xs), "_s": F.array_min(ys), "_n": F.array_max(ys)})
     cells = boxed.withColumn("_c", F.explode(F.sequence(geo.cell(F.col("_w"), 0.0, step), geo.cell(F.col("_e"), 0.0, step)))).withColumn("_r", F.explode(F.sequence(geo.cell(F.col("_s"), 0.0, step), geo.cell(F.col("_n"), 0.0, step))))
-    placed = points.withColumns({"_c": geo.cell(F.col("x"), 0.0, step), "_r": geo.cell(F.col("y"), 0.0, step)})
+    placed = places.withColumns({"_c": geo.cell(F.col("x"), 0.0, step), "_r": geo.cell(F.col("y"), 0.0, step)})
     pairs = placed.join(cells, ["_c", "_r"]).where((F.col("x") >= F.col("_w")) & (F.col("x") <= F.col("_e")) & (F.col("y") >= F.col("_s")) & (F.col("y") <= F.col("_n")))
     x, y = F.col("x"), F.col("y")
 
@@ -92,7 +95,8 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, step: float) -> Dat
 
     tested = pairs.withColumn("_edges", edges)
     hit = (F.aggregate("_edges", F.lit(0), lambda s, e: s + crosses(e)) % 2 == 1) | F.exists("_edges", touches)
-    return tested.where(hit).groupBy("id").agg(F.min("poly").alias("poly"))
+    found = tested.where(hit).groupBy("x", "y").agg(F.min("poly").alias("poly"))
+    return points.select("id", "x", "y").join(found, ["x", "y"]).groupBy("id").agg(F.min("poly").alias("poly"))
 
 
 def boxes_touching(boxes: DataFrame, step: float, pad: float = 0.0) -> DataFrame:

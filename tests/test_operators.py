@@ -84,6 +84,15 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_alike_polygons_and_places_are_tested_once(spark):
+    ring = [[{"x": x, "y": y} for x, y in ((0.0, 0.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0))]]
+    polys = spark.createDataFrame([(k, ring) for k in (7, 3, 5)], "poly long, rings array<array<struct<x: double, y: double>>>")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.0), (3, 3.0, 3.0)], "id long, x double, y double")
+    got = sp.point_in_polygon(points, polys, 1.0)
+    assert rows(got, "id") == [(1, 3), (2, 3)]
+    assert "Aggregate [rings" in optimized(got) and "Aggregate [x" in optimized(got)
+
+
 def test_components_and_merges(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101)], "a long, b long")
     got = dict(rows(graph.connected_components(e), "node"))
