@@ -41,19 +41,30 @@ def kernel_sums(points: DataFrame, grid: DataFrame, sigma: float, step: float) -
     return near.select("id", F.col("n_row").alias("row"), F.col("n_col").alias("col"), "w").join(grid, ["row", "col"]).groupBy("id", "key").agg(F.sum(F.col("w") * F.col("n")).alias("k"))
 
 
-def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """Pairs of left (id, lat, lon) and right (rid, rlat, rlon) within a distance.
+def near_places(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """lat, lon, rlat, rlon, km of the distinct positions of left and right within a distance.
 
     Cells are km / 100 degrees high; across, the window widens with the latitude, up to 80 degrees."""
     step = km / 100.0
-    a = left.withColumns({"_r": geo.cell(F.col("lat"), 0.0, step), "_c": geo.cell(F.col("lon"), 0.0, step)})
+    a = left.select("lat", "lon").distinct().withColumns({"_r": geo.cell(F.col("lat"), 0.0, step), "_c": geo.cell(F.col("lon"), 0.0, step)})
     reach = F.ceil(F.lit(1.0) / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + step, F.lit(80.0)))), F.lit(0.17))).cast("int") + 1
     a = a.withColumn("_r", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.col("_r") + d))).withColumn("_c", F.explode(F.transform(F.sequence(-reach, reach), lambda d: F.col("_c") + d)))
-    b = right.withColumns({"_r": geo.cell(F.col("rlat"), 0.0, step), "_c": geo.cell(F.col("rlon"), 0.0, step)})
+    b = right.select("rlat", "rlon").distinct().withColumns({"_r": geo.cell(F.col("rlat"), 0.0, step), "_c": geo.cell(F.col("rlon"), 0.0, step)})
     d = geo.km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
     return a.join(b, ["_r", "_c"]).withColumn("km", d).where(F.col("km") <= km).drop("_r", "_c")
 
 
+def at_places(left: DataFrame, right: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of the rows at positions that near has, with its km."""
+    return left.join(near, ["lat", "lon"]).join(right, ["rlat", "rlon"]).select(*left.columns, *right.columns, "km")
+
+
+def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Pairs of left (id, lat, lon) and right (rid, rlat, rlon) within a distance: distances are
+    those of distinct positions, and the rows that share one are joined to them after."""
+    return at_places(left, right, near_places(left, right, km))
+
+
 def none_within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     return left.join(radius_join(left.select("id", "lat", "lon"), right, km).select("id").distinct(), "id", "left_anti")
 

@@ -97,7 +97,9 @@ SELECT id, rid, round(km, 6) AS km FROM j WHERE km <= 12""")
 def radius_join(t: Tables):
     p = _places(t)
     right = p.where("id % 5 <> 0").select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    return sp.radius_join(p.where("id % 5 = 0").select("id", "lat", "lon"), right, 12.0).select("id", "rid", F.round("km", 6).alias("km"))
+    left = p.where("id % 5 = 0").select("id", "lat", "lon")
+    near = sp.near_places(left, right, 12.0).withColumn("km", F.round("km", 6))  # once a pair of places
+    return sp.at_places(left, right, near).select("id", "rid", "km")
 
 
 @query(f"""WITH p AS (SELECT c_custkey AS id, {_AT} FROM customer), b AS (SELECT id * 2 AS poly, floor(lon * 4) / 4 AS w, floor(lat * 4) / 4 AS s FROM p)

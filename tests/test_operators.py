@@ -93,6 +93,15 @@ def test_alike_polygons_and_places_are_tested_once(spark):
     assert "Aggregate [rings" in optimized(got) and "Aggregate [x" in optimized(got)
 
 
+def test_distances_are_those_of_distinct_places(spark):
+    left = spark.createDataFrame([(1, -42.0, 147.0), (2, -42.0, 147.0), (3, -43.0, 147.0), (4, None, 147.0)], "id long, lat double, lon double")
+    right = spark.createDataFrame([(8, -42.01, 147.0), (9, -42.01, 147.0), (9, -42.01, 147.0)], "rid long, rlat double, rlon double")
+    got = sp.radius_join(left, right, 5.0)
+    assert got.columns == ["id", "lat", "lon", "rid", "rlat", "rlon", "km"]
+    assert sorted((r.id, r.rid) for r in got.collect()) == [(1, 8), (1, 9), (1, 9), (2, 8), (2, 9), (2, 9)]
+    assert "Aggregate [lat" in optimized(got) and "Aggregate [rlat" in optimized(got)
+
+
 def test_components_and_merges(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101)], "a long, b long")
     got = dict(rows(graph.connected_components(e), "node"))
