@@ -45,8 +45,8 @@ h AS MATERIALIZED (SELECT g.query_id, row_id, p_name, KIND AS kind, g.s + CASE W
 @query(f"""WITH {_TYPED} SELECT query_id, row_id, kind, score::DOUBLE AS score FROM h""")
 def token_search(t: Tables):
     q = se.parsed(typed(t))
-    n = names(t)
-    return se.place_hits(q, se.token_scores(se.variants(q), se.token_index(n), n), n).select("query_id", "row_id", "kind", F.col("score").cast("double").alias("score"))
+    n, members = se.grouped(names(t))
+    return se.every_row(se.place_hits(q, se.token_scores(se.variants(q), se.token_index(n), n), n), members).select("query_id", "row_id", "kind", F.col("score").cast("double").alias("score"))
 
 
 _SUBSTRING = """hc AS (SELECT query_id AS hq, count(*) AS hits FROM h GROUP BY 1), o AS (SELECT query_id FROM q LEFT JOIN hc ON hq = query_id WHERE coalesce(hits, 0) < 30 AND len(list_filter(string_split(norm, ' '), lambda x: length(x) >= 3)) > 0),

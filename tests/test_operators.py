@@ -245,3 +245,21 @@ def test_tile_lookup_meets_only_runs_of_its_block(spark):
     got = ras.tile_lookup(directory, spark.createDataFrame([(i,) for i in ids], "tile_id long"))
     assert sorted((r.tile_id, r.digest) for r in got.collect()) == [(i, d) for i in ids for f, n, d in runs if f <= i < f + n]
     assert "div 1048576" not in optimized(got)
+
+
+def test_search_by_groups_of_names_that_read_alike(spark):
+    rows_ = [(i, "Blue Gum", None, "place") for i in range(1, 41)] + [(50, "Blue Gum", "Track", "place"), (60, "Big Bluegum", "x", "road")]
+    names = spark.createDataFrame(rows_, "row_id long, name string, context string, kind string")
+    q = spark.createDataFrame([(1, "blue gum"), (2, "uegu"), (3, "lue")], "query_id long, text string")
+    groups, members = se.grouped(names)
+    assert sorted((r.row_id, r.n_rows) for r in groups.collect()) == [(1, 40), (50, 1), (60, 1)]
+    assert sorted((r.group, r.row_id) for r in members.collect()) == [(1, i) for i in range(1, 41)] + [(50, 50), (60, 60)]
+    p = se.parsed(q)
+    hits = se.every_row(se.token_scores(se.variants(p), se.token_index(groups), groups), members)
+    assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, se.token_scores(se.variants(p), se.token_index(names), names).collect()))
+    got = {}
+    for r in se.search(q, names, limit=30).collect():
+        got.setdefault(r.query_id, []).append((r.rk, r.row_id))
+    assert sorted(got[1]) == [(i, i) for i in range(1, 31)]
+    assert got[2] == [(1, 60)] and sorted(got[3]) == [(1, 60)] + [(i + 1, i) for i in range(1, 30)]
