@@ -57,9 +57,10 @@ sub AS MATERIALIZED (SELECT query_id, row_id, 0.5::DOUBLE AS score FROM x ANTI J
 
 @query(f"""WITH {_TYPED}, {_SUBSTRING} SELECT query_id, row_id, score FROM sub""")
 def substring_tier(t: Tables):
-    q, n = se.parsed(typed(t)), names(t)
-    hits = se.place_hits(q, se.token_scores(se.variants(q), se.token_index(n), n), n)
-    return se.substring_hits(q, n, hits).select("query_id", "row_id", F.col("score").cast("double").alias("score"))
+    q = se.parsed(typed(t))
+    n, members = se.grouped(names(t))
+    hits = se.place_hits(q, se.token_scores(se.variants(q), se.token_index(n), n), n).join(n.select("row_id", "n_rows"), "row_id")
+    return se.every_row(se.substring_hits(q, n, hits), members).select("query_id", "row_id", F.col("score").cast("double").alias("score"))
 
 
 @query(f"""WITH {_TYPED}, {_SUBSTRING}, u AS (SELECT query_id, row_id, score::DOUBLE AS score, TRUE AS whole FROM h UNION ALL SELECT query_id, row_id, score, FALSE FROM sub),
